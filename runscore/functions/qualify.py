@@ -96,7 +96,13 @@ def gap(
 
 def gap_list(*conditional: Column) -> Column:
     """Array of the gaps whose condition held, in argument order."""
-    return F.array_compact(F.array(*conditional)).cast(GAPS_DDL)
+    return keep_set(*conditional).cast(GAPS_DDL)
+
+
+def keep_set(*values: Column) -> Column:
+    """Distinct non-null values in order, without a lambda, so it is compiled."""
+    candidates = F.array(*values)
+    return F.array_except(candidates, F.slice(F.array_append(candidates, F.lit(None)), -1, 1))
 
 
 def severity_weight(severity: Column) -> Column:
@@ -112,19 +118,30 @@ def gap_score(gaps: Column) -> Column:
     return F.greatest(stable_round(1.0 - lost, 3), F.lit(0.0))
 
 
+def counted_score(high: Column, medium: Column, low: Column) -> Column:
+    """The score of :func:`gap_score` from the number of gaps of each severity."""
+    lost = (
+        SEVERITY_WEIGHT["high"] * high
+        + SEVERITY_WEIGHT["medium"] * medium
+        + OTHER_SEVERITY_WEIGHT * low
+    )
+    return F.greatest(stable_round(1.0 - lost, 3), F.lit(0.0))
+
+
 def has_high(gaps: Column) -> Column:
     return F.exists(gaps, lambda g: g["severity"] == "high")
 
 
 def qualified(
-    gaps: Column, score: Column, succeeded: Column, threshold: float = QUALIFY_THRESHOLD
+    high: Column, score: Column, succeeded: Column, threshold: float = QUALIFY_THRESHOLD
 ) -> Column:
-    return ~has_high(gaps) & (score >= threshold) & succeeded
+    """No high gap, a sufficient score and a successful execution."""
+    return (high == 0) & (score >= threshold) & succeeded
 
 
-def qualify_summary(is_qualified: Column, gaps: Column, score: Column) -> Column:
+def qualify_summary(is_qualified: Column, count: Column, score: Column) -> Column:
     return F.when(is_qualified, F.lit(REQUIREMENTS_MET)).otherwise(
-        F.format_string("Qualification gaps (%d); score=%.2f.", F.size(gaps), score)
+        F.format_string("Qualification gaps (%d); score=%.2f.", count, score)
     )
 
 

@@ -6,6 +6,8 @@ projection without a shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,8 +128,52 @@ def ci(pattern: str) -> str:
     return "(?id)" + pattern
 
 
+_PLAIN = re.compile(r"(?:[A-Za-z0-9_ -]|\\[.(])+")
+_OPTIONAL_TAIL = re.compile(r"\(\?:[^()]*\)\?$")
+
+
+def _literal(alternative: str) -> str | None:
+    """Lower-case text an alternative stands for, or None if it is a real pattern.
+
+    A trailing optional group never decides whether there is a match.
+    """
+    core = _OPTIONAL_TAIL.sub("", alternative)
+    return core.replace("\\", "").lower() if _PLAIN.fullmatch(core) else None
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """Top-level alternatives of a pattern."""
+    parts, depth, start = [], 0, 0
+    for i, char in enumerate(pattern):
+        escaped = i > 0 and pattern[i - 1] == "\\"
+        if char in "([" and not escaped:
+            depth += 1
+        elif char in ")]" and not escaped:
+            depth -= 1
+        elif char == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+    return [*parts, pattern[start:]]
+
+
 def found(text: Column, pattern: str) -> Column:
-    return text.rlike(ci(pattern))
+    """Case-insensitive search.
+
+    Plain alternatives become substring tests on the lower-cased text, which are
+    several times cheaper than a regular expression; only the rest is matched
+    as a pattern.
+    """
+    lowered = F.lower(text)
+    literals, patterns = [], []
+    for alternative in _alternatives(pattern):
+        word = _literal(alternative)
+        if word is None:
+            patterns.append(alternative)
+        else:
+            literals.append(lowered.contains(word))
+    if patterns:
+        literals.append(text.rlike(ci("|".join(patterns))))
+    return any_of(literals)
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
@@ -190,7 +236,7 @@ def has_ml_metrics(stdout: Column) -> Column:
 
 def reports_metric(stdout: Column, metric: str) -> Column:
     """Whole-word mention; word characters are Unicode letters and digits."""
-    return stdout.rlike(rf"(?iU)\b{metric}\b")
+    return F.lower(stdout).contains(metric) & stdout.rlike(rf"(?iU)\b{metric}\b")
 
 
 def expected_metrics(expected: Column) -> Column:

@@ -144,7 +144,6 @@ def rule_gaps(
     wants_figure = F.col("wants_viz") | F.exists(
         "expected", lambda name: F.lower(name).isin("png", "jpg", "svg")
     )
-    worsened = F.when(in_loop & F.lit(fail_on_worsened), F.lit("high")).otherwise("medium")
     prep_wanted = F.col("wants_prep") | (
         F.col("data_missing") & F.lower(F.col("task")).contains("imput")
     )
@@ -162,38 +161,57 @@ def rule_gaps(
         F.concat(F.lit(Q.STDERR_WARNINGS[1]), F.substring("stderr", 1, 300)),
         Q.STDERR_WARNINGS[2],
     )
-    leading = Q.gap_list(
-        F.when(~F.col("is_success"), Q.gap(*Q.NOT_EXECUTED, "high")).when(
-            F.col("is_warned"), Q.gap(*warned, "high" if require_clean_stderr else "medium")
+    before_after = F.col("wants_before_after")
+    got_worse = before_after & F.col("shows_before_after") & F.col("got_worse")
+    worse_severity = "high" if fail_on_worsened else "medium"
+    # (condition, gap, severity) in report order; metric gaps follow the leading ones
+    leading = [
+        (~F.col("is_success"), Q.NOT_EXECUTED, "high"),
+        (
+            F.col("is_success") & F.col("is_warned"),
+            warned,
+            "high" if require_clean_stderr else "medium",
         ),
-        F.when(wants_figure & ~F.col("shows_viz"), Q.gap(*Q.NO_FIGURE, "high")),
+        (wants_figure & ~F.col("shows_viz"), Q.NO_FIGURE, "high"),
+    ]
+    trailing = [
+        (F.col("impute_failed"), Q.NOT_IMPUTED, "high"),
+        (before_after & ~F.col("shows_before_after"), Q.NO_BEFORE_AFTER, "medium"),
+        (got_worse & in_loop, Q.WORSENED, worse_severity),
+        (got_worse & ~in_loop, Q.WORSENED, "medium"),
+        (in_loop & F.col("clips_early"), Q.CLIPPED_EARLY, "medium"),
+        (F.col("lacks_engineering"), Q.NOT_ENGINEERED, "medium"),
+        (prep_wanted & ~F.col("shows_prep"), Q.NOT_PREPROCESSED, "medium"),
+        (F.col("drops_twice"), Q.DROP_TWICE, "medium"),
+        (F.col("fills_inplace"), Q.FILL_INPLACE, "medium"),
+        (F.col("selects_object"), Q.OBJECT_DTYPES, "low"),
+    ]
+
+    def listed(rules: list[tuple]) -> Column:
+        return Q.gap_list(*[F.when(c, Q.gap(*texts, level)) for c, texts, level in rules])
+
+    def count(level: str) -> Column:
+        hits = F.size("missing_metrics") if level == "high" else F.lit(0)
+        for condition, _, severity in (*leading, *trailing):
+            if severity == level:
+                hits = hits + condition.cast("int")
+        return hits
+
+    # scores come from the conditions, so the arrays are built only if asked for
+    counted = flagged.withColumns(
+        {"n_high": count("high"), "n_medium": count("medium"), "n_low": count("low")}
     )
-    trailing = Q.gap_list(
-        F.when(F.col("impute_failed"), Q.gap(*Q.NOT_IMPUTED, "high")),
-        F.when(
-            F.col("wants_before_after") & ~F.col("shows_before_after"),
-            Q.gap(*Q.NO_BEFORE_AFTER),
-        ).when(
-            F.col("wants_before_after") & F.col("got_worse"), Q.gap(*Q.WORSENED, worsened)
-        ),
-        F.when(in_loop & F.col("clips_early"), Q.gap(*Q.CLIPPED_EARLY)),
-        F.when(F.col("lacks_engineering"), Q.gap(*Q.NOT_ENGINEERED)),
-        F.when(prep_wanted & ~F.col("shows_prep"), Q.gap(*Q.NOT_PREPROCESSED)),
-        F.when(F.col("drops_twice"), Q.gap(*Q.DROP_TWICE)),
-        F.when(F.col("fills_inplace"), Q.gap(*Q.FILL_INPLACE)),
-        F.when(F.col("selects_object"), Q.gap(*Q.OBJECT_DTYPES, "low")),
+    scored = counted.withColumn(
+        "gap_score", Q.counted_score(F.col("n_high"), F.col("n_medium"), F.col("n_low"))
     )
+    verdict = Q.qualified(F.col("n_high"), F.col("gap_score"), F.col("is_success"), threshold)
+    found = F.col("n_high") + F.col("n_medium") + F.col("n_low")
     return (
-        flagged.withColumn("gaps", F.concat(leading, metric_gaps, trailing))
-        .withColumn("gap_score", Q.gap_score(F.col("gaps")))
+        scored.withColumn("is_qualified", verdict)
         .withColumn(
-            "is_qualified",
-            Q.qualified(F.col("gaps"), F.col("gap_score"), F.col("is_success"), threshold),
-        )
-        .withColumn(
-            "gap_summary",
-            Q.qualify_summary(F.col("is_qualified"), F.col("gaps"), F.col("gap_score")),
+            "gap_summary", Q.qualify_summary(F.col("is_qualified"), found, F.col("gap_score"))
         )
+        .withColumn("gaps", F.concat(listed(leading), metric_gaps, listed(trailing)))
     )
 
 
@@ -224,8 +242,14 @@ def with_judge(gapped: DataFrame, reply: str, threshold: float = QUALIFY_THRESHO
     ).drop("judged")
 
 
-def with_feedback(gapped: DataFrame, threshold: float = PASS_THRESHOLD) -> DataFrame:
-    """Add feedback items merged with the gaps, the capped score and the verdict."""
+def with_feedback(
+    gapped: DataFrame, threshold: float = PASS_THRESHOLD, judged: bool = False
+) -> DataFrame:
+    """Add feedback items merged with the gaps, the capped score and the verdict.
+
+    Rule gaps with the same category and message are equal in all fields, so an
+    array union merges them. Judge gaps may differ and need the keyed merge.
+    """
     scores = component_columns()
     prep_wanted = F.col("wants_prep") | (F.col("data_missing") & F.col("wants_ml"))
     items = S.feedback_items(
@@ -241,6 +265,7 @@ def with_feedback(gapped: DataFrame, threshold: float = PASS_THRESHOLD) -> DataF
         stderr=F.col("stderr"),
         error_message=F.col("error_message"),
     )
+    merge = Q.merge_gaps if judged else F.array_union
     has_advice = F.lit(False)
     for weak in K.needs_recommendation(scores, F.col("leakage_task")).values():
         has_advice = has_advice | weak
@@ -267,7 +292,8 @@ def with_feedback(gapped: DataFrame, threshold: float = PASS_THRESHOLD) -> DataF
                 threshold=threshold,
             ),
         )
-        .withColumn("items", Q.merge_gaps(items, F.col("gaps")))
+        .withColumn("own_items", items)
+        .withColumn("items", merge(F.col("own_items"), F.col("gaps")))
     )
 
 
@@ -290,7 +316,7 @@ def score_table(
     )
     if judge_reply:
         gapped = with_judge(gapped, judge_reply, qualify_threshold)
-    return with_feedback(gapped, pass_threshold)
+    return with_feedback(gapped, pass_threshold, judged=judge_reply is not None)
 
 
 def evaluate_runs(runs: DataFrame, **options) -> DataFrame:

@@ -7,6 +7,8 @@ templates, because the tables hold no code.
 
 from __future__ import annotations
 
+import dataclasses
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -231,33 +233,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _texts(values: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
 def template_at(index: Column) -> Column:
-    """Template struct by number; a literal array, so no join is needed."""
-    rows = [
-        F.struct(
-            *[
-                F.lit(getattr(t, c)).alias(c)
-                for c in ("task", "code", "stdout", "stderr", "summary", "snippet", "reply",
-                          "error", "name")
-            ],
-            _texts(t.files).alias("files"),
-            _texts(t.expected).alias("expected"),
-        )
-        for t in TEMPLATES
-    ]
-    return F.element_at(F.array(*rows), (index + 1).cast("int"))
+    """Template struct by number; a constant array, so no join is needed."""
+    fields = ",".join(
+        f"{f.name}:{'array<string>' if f.name in ('files', 'expected') else 'string'}"
+        for f in dataclasses.fields(Template)
+    )
+    rows = json.dumps([dataclasses.asdict(t) for t in TEMPLATES])
+    constant = F.from_json(F.lit(rows), f"array<struct<{fields}>>")
+    return F.element_at(constant, (index + 1).cast("int"))
 
 
 def templated(rows: DataFrame, index: Column) -> DataFrame:
     """Add the template columns of the numbered template."""
     picked = rows.withColumn("tpl", template_at(index))
-    fields = ["task", "code", "stdout", "stderr", "summary", "snippet", "reply", "error", "name",
-              "files", "expected"]
-    return picked.withColumns({c: F.col("tpl")[c] for c in fields}).drop("tpl")
+    return picked.select(*rows.columns, "tpl.*")
 
 
 def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

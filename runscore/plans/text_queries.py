@@ -295,7 +295,7 @@ flags(
             r"'\.(png|jpg|jpeg|svg)$')), ','), '')"
         ),
         "merged": (
-            "COALESCE((SELECT string_agg(f, ',' ORDER BY at) FROM (SELECT f, MIN(i) AS at FROM ("
+            "COALESCE((SELECT string_agg(f, ',' ORDER BY pos) FROM (SELECT f, MIN(i) AS pos FROM ("
             "SELECT UNNEST(list_concat(files, expected)) AS f, "
             "UNNEST(generate_series(1, len(files) + len(expected))) AS i) GROUP BY f)), '')"
         ),
