@@ -9,6 +9,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -70,12 +71,12 @@ def t_quantile(confidence: float, df: float) -> float:
     return (low + high) / 2.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(float(a), float(b)) for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical(confidence: pd.Series, df: pd.Series) -> pd.Series:
     known: dict[tuple[float, float], float] = {}
     keys = [(float(c), float(d)) for c, d in zip(confidence, df)]
@@ -84,6 +85,6 @@ def t_critical(confidence: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([known[key] for key in keys])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else math.nan)

@@ -368,12 +368,16 @@ _VALID = f"COALESCE({JSON_PART} <> '' AND json_valid({JSON_PART}), FALSE)"
             CAST(json_extract_string(obj, '$.gaps[*].severity') AS VARCHAR[]) ELSE [] END AS given,
         CASE WHEN json_type(obj, '$.gaps') = 'ARRAY' THEN
             json_array_length(obj, '$.gaps') ELSE 0 END AS n_given,
-        list_distinct(list_transform(list_filter(list_transform(
+        list_transform(list_filter(list_transform(
           string_split_regex(reply, '\\r\\n|\\n|\\r'),
           lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: regexp_matches(l, {BULLET})),
           lambda l: lower(regexp_extract(l, {BULLET}, 1)) || '/' || regexp_extract(l, {BULLET}, 2)
-            || '/' || regexp_extract(l, {BULLET}, 3))) AS lines
+            || '/' || regexp_extract(l, {BULLET}, 3)) AS raw_lines
       FROM objects),
+    merged AS (
+      SELECT *, list_filter(raw_lines, lambda l, i: list_position(list_transform(raw_lines,
+        lambda k: regexp_replace(k, '^[a-z]+/', '')), regexp_replace(l, '^[a-z]+/', '')) = i) AS lines
+      FROM judged),
     counted AS (
       SELECT run_id, gap_score, is_object, score,
         n_high + len(list_filter(given, lambda s: s = 'high'))
@@ -382,7 +386,7 @@ _VALID = f"COALESCE({JSON_PART} <> '' AND json_valid({JSON_PART}), FALSE)"
           + CASE WHEN is_object THEN 0 ELSE len(list_filter(lines, lambda l: starts_with(l, 'medium/'))) END AS m,
         n_low + len(list_filter(given, lambda s: s = 'low'))
           + CASE WHEN is_object THEN 0 ELSE len(list_filter(lines, lambda l: starts_with(l, 'low/'))) END AS l
-      FROM judged),
+      FROM merged),
     final AS (
       SELECT run_id, h, h + m + l AS n, CASE WHEN is_object THEN COALESCE(score, gap_score)
         ELSE GREATEST({rnd('1.0 - 0.4 * h - 0.15 * m - 0.05 * l', 3)}, 0.0) END AS score
