@@ -218,9 +218,16 @@ def evaluate(scored: DataFrame, spec: ModelSpec) -> DataFrame:
 
 def train_eval(df: DataFrame, spec: ModelSpec) -> DataFrame:
     """Train one model and return its test metrics as one row (action)."""
-    split = prepare(df, spec)
+    split = prepare(df, spec).persist()
     model = fit(split, spec)
-    return evaluate(model.transform(split.where(~F.col("is_train"))), spec)
+    result = one_row(evaluate(model.transform(split.where(~F.col("is_train"))), spec))
+    split.unpersist()
+    return result
+
+
+def one_row(table: DataFrame) -> DataFrame:
+    """Compute a one-row table now, so that the rows behind it can be released."""
+    return table.sparkSession.createDataFrame(table.take(1), table.schema)
 
 
 def baseline_model(
@@ -250,7 +257,7 @@ def baseline_model(
 def compare_models(df: DataFrame, specs: dict[str, ModelSpec], metric: str) -> DataFrame:
     """Same split, several models, ranked by a metric with fit and score time (action)."""
     first = next(iter(specs.values()))
-    split = prepare(df, first).cache()
+    split = prepare(df, first).persist()
     spark = df.sparkSession
     rows = []
     for name, spec in specs.items():
@@ -295,7 +302,7 @@ def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
     """
     if spec.categorical:
         raise ValueError("feature importance takes numeric features")
-    split = prepare(df, spec).cache()
+    split = prepare(df, spec).persist()
     model = fit(split, spec)
     test = split.where(~F.col("is_train"))
     metric = "accuracy" if spec.task == "classification" else "r2"
@@ -332,7 +339,7 @@ def feature_group_ablation(
     df: DataFrame, spec: ModelSpec, groups: dict[str, list[str]], metric: str
 ) -> DataFrame:
     """Score with each feature group alone and with each removed (action)."""
-    split = prepare(df, spec).cache()
+    split = prepare(df, spec).persist()
 
     def score(kept: list[str]) -> float:
         part = ModelSpec(

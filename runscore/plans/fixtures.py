@@ -385,7 +385,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _history().alias("feedback_history"), F.lit("").alias("final_report"),
         F.col("rounds").alias("iterations"), _recovered().alias("recovered_from_failure"),
         F.create_map(F.lit("task_id"), F.col("task_id")).alias("metadata"),
-        F.col("ts").alias("created_at"), "task_id", "file_name", "position",
+        F.col("ts").cast("timestamp").alias("created_at"), "task_id", "file_name", "position",
         F.col("event_id").alias("run_order"), F.col("expected").alias("expected_outputs"),
         F.col("summary").alias("dataset_summary"), "reply",
     )

@@ -1 +1,145 @@
-"""Placeholder."""
+"""Spark ML jobs over all line items. Rows are split by order key."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runscore.operators import models as M
+from runscore.plans.data_queries import FEATURES, lineitem
+from runscore.plans.registry import query
+
+GROUPS = {"price": ["l_quantity", "l_extendedprice"], "terms": ["l_discount", "l_tax", "l_linestatus"]}
+FOREST = {"numTrees": 20, "maxDepth": 6}
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with a yes/no target and some missing inputs."""
+    line = F.col("l_linenumber")
+    return lineitem(spark, sf_dir).select(
+        "l_orderkey",
+        *FEATURES[1:],
+        F.when(line != 7, F.col("l_quantity")).alias("l_quantity"),
+        F.when(line != 6, F.col("l_linestatus")).alias("l_linestatus"),
+        (F.col("l_returnflag") == "R").cast("int").alias("returned"),
+        F.col("l_returnflag"),
+    )
+
+
+def spec(**changes) -> M.ModelSpec:
+    base = M.ModelSpec(
+        "returned", "l_orderkey", tuple(FEATURES), ("l_linestatus",), "random_forest", params=FOREST
+    )
+    return replace(base, **changes)
+
+
+def price_spec(**changes) -> M.ModelSpec:
+    return spec(
+        target="l_extendedprice", numeric=("l_quantity", "l_discount", "l_tax"),
+        task="regression", **changes,
+    )
+
+
+@query("p8_baseline_model")
+def baseline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir).drop("returned")
+    return M.baseline_model(rows, "l_returnflag", "l_orderkey", **FOREST)
+
+
+@query("w11_logistic_balanced")
+def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.train_eval(
+        labelled(spark, sf_dir), spec(model="logistic", balanced=True, params={"maxIter": 20})
+    )
+
+
+@query("w11_gradient_boosting")
+def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.train_eval(
+        labelled(spark, sf_dir), spec(model="gradient_boosting", params={"maxIter": 5})
+    )
+
+
+@query("w11_linear")
+def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.train_eval(labelled(spark, sf_dir), price_spec(model="linear", params={}))
+
+
+@query("w11_forest_regression")
+def forest_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.train_eval(labelled(spark, sf_dir), price_spec())
+
+
+@query("w13_compare_models")
+def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.compare_models(
+        labelled(spark, sf_dir),
+        {
+            "logistic": spec(model="logistic", params={"maxIter": 20}),
+            "random_forest": spec(),
+            "gradient_boosting": spec(model="gradient_boosting", params={"maxIter": 5}),
+        },
+        "f1_macro",
+    )
+
+
+@query("w14_feature_importance")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.feature_importance(labelled(spark, sf_dir), price_spec(categorical=()))
+
+
+@query("w17_counterfactuals")
+def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewest changes of quantity and discount that turn a large line into a small one."""
+    lines = lineitem(spark, sf_dir).withColumns(
+        {
+            "dear": (F.col("l_quantity") * (1 - F.col("l_discount")) > 24).cast("int"),
+            "line_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        }
+    )
+    wanted = spec(
+        target="dear", key="line_id", numeric=("l_quantity", "l_discount"), categorical=(),
+        model="logistic", params={"maxIter": 20},
+    )
+    split = M.prepare(lines, wanted)
+    model = M.fit(split, wanted)
+    chosen = model.transform(split).where(F.col(M.PREDICTION) == 1.0).select(
+        "row_key", *wanted.numeric
+    )
+    edits = [
+        {"l_discount": 0.1}, {"l_quantity": 20.0}, {"l_quantity": 10.0},
+        {"l_quantity": 10.0, "l_discount": 0.1},
+    ]
+    return M.counterfactuals(chosen, model, edits, "row_key", 0.0)
+
+
+@query("w20_model_contributions")
+def model_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global contributions of a fitted linear model."""
+    wanted = price_spec(model="linear", params={}, categorical=())
+    split = M.prepare(labelled(spark, sf_dir), wanted)
+    weights = M.coefficients_of(M.fit(split, wanted), wanted)
+    explained = M.local_contributions(split.na.drop(subset=list(wanted.numeric)), weights)
+    return M.global_contributions(explained, list(wanted.numeric))
+
+
+@query("w21_model_residuals")
+def model_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies against a model's expectation instead of a group mean."""
+    from runscore.operators.workload import score_residuals
+
+    wanted = price_spec(model="linear", params={})
+    split = M.prepare(labelled(spark, sf_dir), wanted)
+    scored = M.fit(split, wanted).transform(split)
+    rows = scored.select("row_key", (F.col(M.LABEL) - F.col(M.PREDICTION)).alias("residual"))
+    return score_residuals(rows, 1.5).where("is_anomaly").select("row_key", "residual", "z")
+
+
+@query("w22_feature_group_ablation")
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = {"quantity": ["l_quantity"], "terms": ["l_discount", "l_tax", "l_linestatus"]}
+    return M.feature_group_ablation(
+        labelled(spark, sf_dir), price_spec(model="linear", params={}), groups, "r2"
+    )

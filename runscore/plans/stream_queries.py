@@ -1 +1,94 @@
-"""Placeholder."""
+"""Streams over files written from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runscore.functions.rounding import stable_round
+from runscore.plans.fixtures import run_records
+from runscore.plans.oracle import METRIC_BASE, rnd, suite
+from runscore.plans.registry import query
+from runscore.plans.scoring_queries import WITH as SCORING_WITH
+from runscore.plans.source_queries import LEVEL_SQL, UPSERT_SQL, versions, write_logs
+from runscore.runtime import scratch_path
+from runscore.sources.history import load_version, save_version
+from runscore.sources.tables import stream_log_lines
+from runscore.streaming import streams as T
+
+
+def arriving(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
+    """Write a table as files and read them back as a stream."""
+    path = scratch_path(spark, name)
+    table.write.parquet(path)
+    return spark.readStream.schema(table.schema).parquet(path)
+
+
+def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream to its end and return what it wrote."""
+    path = scratch_path(spark, name)
+    T.run_to_parquet(stream, path, scratch_path(spark, f"{name}-state")).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query(
+    "t1_stream_scored_runs",
+    f"""{SCORING_WITH} SELECT mode, COUNT(*) AS runs, {rnd('AVG(task_score)', 6)} AS task_score,
+      {rnd('AVG(decision_score)', 6)} AS decision_score, COUNT(*) FILTER (WHERE passed) AS passed
+    FROM passing GROUP BY mode""",
+)
+def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = arriving(spark, run_records(spark, sf_dir), "runs")
+    scored = finished(spark, T.stream_scored_runs(stream), "scored")
+    ev = F.col("evaluation")
+    return scored.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("runs"),
+        stable_round(F.avg(ev["task_completion_score"]), 6).alias("task_score"),
+        stable_round(F.avg(ev["decision_evaluation"]["decision_score"]), 6).alias(
+            "decision_score"
+        ),
+        F.count_if("feedback.passed").alias("passed"),
+    )
+
+
+@query(
+    "t2_stream_scoreboard",
+    f"""WITH {METRIC_BASE}, hourly AS (
+      SELECT *, date_trunc('hour', ts) AS w FROM run_values)
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, * EXCLUDE (w)
+    FROM ({suite('w, mode', 'hourly')})
+    WHERE w + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 2 HOUR""",
+)
+def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = arriving(spark, run_records(spark, sf_dir), "runs")
+    done = finished(spark, T.stream_scoreboard(stream), "scoreboard")
+    return done.withColumn("window_start", F.col("window_start").cast("string")).drop("window_end")
+
+
+@query("t3_stream_upsert", UPSERT_SQL)
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history, new = versions(spark, sf_dir)
+    path = scratch_path(spark, "history")
+    save_version(history, path, 0)
+    stream = arriving(spark, new, "new-runs")
+    job = T.stream_upsert(stream, path, scratch_path(spark, "history-state"))
+    job.awaitTermination()
+    last = job.lastProgress["batchId"] + 1
+    return load_version(spark, path, last).select("run_id", "mode", "iterations")
+
+
+@query(
+    "t4_stream_error_rate",
+    f"""WITH l AS (SELECT ts, {LEVEL_SQL} AS level FROM events),
+    w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - i * INTERVAL 30 MINUTE AS s, level
+      FROM l, (SELECT UNNEST([0, 1]) AS i))
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS lines,
+      COUNT(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) AS errors,
+      {rnd("COUNT(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) / COUNT(*)::DOUBLE", 6)} AS error_rate
+    FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', MAX(ts)) FROM events) - INTERVAL 1 HOUR
+    GROUP BY s""",
+)
+def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = stream_log_lines(spark, write_logs(spark, sf_dir))
+    done = finished(spark, T.stream_error_rate(stream), "error-rate")
+    return done.withColumn("window_start", F.col("window_start").cast("string")).drop("window_end")
