@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,19 +73,34 @@ def t_quantile(confidence: float, df: float) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
+def _t_pvalues(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(float(a), float(b)) for a, b in zip(t, df)])
 
 
 @F.pandas_udf(T.DoubleType())
-def t_critical(confidence: pd.Series, df: pd.Series) -> pd.Series:
-    known: dict[tuple[float, float], float] = {}
+def _t_criticals(confidence: pd.Series, df: pd.Series) -> pd.Series:
     keys = [(float(c), float(d)) for c, d in zip(confidence, df)]
-    for key in set(keys):
-        known[key] = t_quantile(*key)
+    known = {key: t_quantile(*key) for key in set(keys)}
     return pd.Series([known[key] for key in keys])
 
 
 @F.pandas_udf(T.DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
+def _normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else math.nan)
+
+
+def _nan_for_null(value: Column) -> Column:
+    """Arrow turns NaN into null on the way back; undo that."""
+    return F.coalesce(value, F.lit(math.nan))
+
+
+def t_pvalue(t: Column, df: Column) -> Column:
+    return _nan_for_null(_t_pvalues(t, df))
+
+
+def t_critical(confidence: Column, df: Column) -> Column:
+    return _nan_for_null(_t_criticals(confidence, df))
+
+
+def normal_two_sided(z: Column) -> Column:
+    return _nan_for_null(_normal_two_sided(z))

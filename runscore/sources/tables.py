@@ -18,7 +18,7 @@ def read_metric_tables(spark: SparkSession, path: str, glob: str = METRIC_FILES)
     The key column may be called metric or component. Text that is not a
     number becomes null.
     """
-    raw = spark.read.option("pathGlobFilter", glob).option("wholetext", False).text(path)
+    raw = spark.read.option("pathGlobFilter", glob).text(path)
     lines = raw.select(
         F.regexp_extract(F.col("_metadata.file_name"), _TASK_IN_NAME, 1).alias("task_id"),
         F.from_csv(
