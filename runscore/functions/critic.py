@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runscore.functions import text as X
-from runscore.functions.qualify import keep_set
+from runscore.functions.qualify import present
 from runscore.functions.rounding import bonus, clamp, stable_round, total
 from runscore.schemas import COMPONENT_GATE, COMPONENTS, CRITIC_DDL
 
@@ -225,7 +225,7 @@ def critic_notes(scores: dict[str, Column], leakage_task: Column) -> dict[str, C
     advice = [F.when(weak[name], F.lit(line)) for name, line in RECOMMENDATIONS.items()]
 
     def lines(conditional: list[Column], fallback: str | None = None) -> Column:
-        kept = keep_set(*conditional)
+        kept = present(*conditional)
         if fallback is None:
             return kept
         return F.when(F.size(kept) == 0, F.array(F.lit(fallback))).otherwise(kept)

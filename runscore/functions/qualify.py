@@ -96,26 +96,12 @@ def gap(
 
 def gap_list(*conditional: Column) -> Column:
     """Array of the gaps whose condition held, in argument order."""
-    return keep_set(*conditional).cast(GAPS_DDL)
+    return present(*conditional).cast(GAPS_DDL)
 
 
-def keep_set(*values: Column) -> Column:
-    """Distinct non-null values in order, without a lambda, so it is compiled."""
-    candidates = F.array(*values)
-    return F.array_except(candidates, F.slice(F.array_append(candidates, F.lit(None)), -1, 1))
-
-
-def severity_weight(severity: Column) -> Column:
-    weight = F.lit(OTHER_SEVERITY_WEIGHT)
-    for name, value in SEVERITY_WEIGHT.items():
-        weight = F.when(severity == name, F.lit(value)).otherwise(weight)
-    return weight
-
-
-def gap_score(gaps: Column) -> Column:
-    """One minus the severity weights, not below zero."""
-    lost = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + severity_weight(g["severity"]))
-    return F.greatest(stable_round(1.0 - lost, 3), F.lit(0.0))
+def present(*values: Column) -> Column:
+    """Array of the non-null values in order."""
+    return F.array_compact(F.array(*values))
 
 
 def counted_score(high: Column, medium: Column, low: Column) -> Column:

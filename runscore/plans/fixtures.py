@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runscore.runtime import spread_small
 from runscore.schemas import (
     BASELINE,
     COMPONENTS,
@@ -252,7 +253,7 @@ def templated(rows: DataFrame, index: Column) -> DataFrame:
 
 def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat run columns, one per event."""
-    e = load(spark, sf_dir, "events")
+    e = spread_small(load(spark, sf_dir, "events"))
     event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     return e.select(
         event,
@@ -402,7 +403,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("template"),
     ).select(fields)
     documents = templated(
-        load(spark, sf_dir, "documents").withColumn(
+        spread_small(load(spark, sf_dir, "documents")).withColumn(
             "log_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
         ),
         F.col("doc_id") % COUNT,

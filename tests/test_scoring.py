@@ -255,6 +255,7 @@ def test_whole_log_text_is_read(spark, sf):
 
 
 def test_scoring_plan_is_narrow_and_native(spark, sf):
-    plan = evaluate_runs(run_records(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    records = frame(spark, run("print(1)", "Train a model"))
+    plan = evaluate_runs(records)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "Python" not in plan and "ArrowEval" not in plan
