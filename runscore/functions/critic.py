@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from runscore.functions import text as X
 from runscore.functions.qualify import present
 from runscore.functions.rounding import bonus, clamp, stable_round, total
-from runscore.schemas import COMPONENT_GATE, COMPONENTS, CRITIC_DDL
+from runscore.schemas import COMPONENT_GATE, COMPONENTS
 
 # --- fixed values: evidence words, base scores, notes -----------------------
 EXPLORE_CODE = ["describe", "shape", "info", "head", "value_counts"]
@@ -247,4 +247,4 @@ def critic_struct(scores: dict[str, Column], score: Column, leakage_task: Column
         notes["recommendations"].alias("recommendations"),
         critic_confidence(score).alias("confidence"),
         F.lit(CRITIC_SUMMARY).alias("summary"),
-    ).cast(CRITIC_DDL)
+    )

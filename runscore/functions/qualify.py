@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from runscore.functions.rounding import stable_round
 from runscore.schemas import (
-    GAP_DDL,
     GAPS_DDL,
     OTHER_SEVERITY_WEIGHT,
     QUALIFY_THRESHOLD,
@@ -91,12 +90,12 @@ def gap(
         text(severity).alias("severity"),
         text(message).alias("message"),
         text(recommendation).alias("recommendation"),
-    ).cast(GAP_DDL)
+    )
 
 
 def gap_list(*conditional: Column) -> Column:
     """Array of the gaps whose condition held, in argument order."""
-    return present(*conditional).cast(GAPS_DDL)
+    return present(*conditional)
 
 
 def present(*values: Column) -> Column:
@@ -104,6 +103,19 @@ def present(*values: Column) -> Column:
     return F.array_compact(F.array(*values))
 
 
+def severity_weight(severity: Column) -> Column:
+    weight = F.lit(OTHER_SEVERITY_WEIGHT)
+    for name, value in SEVERITY_WEIGHT.items():
+        weight = F.when(severity == name, F.lit(value)).otherwise(weight)
+    return weight
+
+
+def gap_score(gaps: Column) -> Column:
+    """One minus the severity weights, not below zero."""
+    lost = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + severity_weight(g["severity"]))
+    return F.greatest(stable_round(1.0 - lost, 3), F.lit(0.0))
+
+
 def counted_score(high: Column, medium: Column, low: Column) -> Column:
     """The score of :func:`gap_score` from the number of gaps of each severity."""
     lost = (

@@ -145,8 +145,30 @@ def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 # --- pipelines --------------------------------------------------------------
-def prepare(df: DataFrame, spec: ModelSpec) -> DataFrame:
-    """label, features' inputs, key and ``is_train``; rows without a label are dropped."""
+@dataclass(frozen=True)
+class Prepared:
+    """Split rows, and the persisted frame behind them."""
+
+    rows: DataFrame
+    held: DataFrame
+
+    @property
+    def train(self) -> DataFrame:
+        return self.rows.where("is_train")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.rows.where(~F.col("is_train"))
+
+    def release(self) -> None:
+        self.held.unpersist()
+
+
+def prepare(df: DataFrame, spec: ModelSpec) -> Prepared:
+    """label, inputs, key and ``is_train`` (action, persists); unlabelled rows are dropped.
+
+    Missing categories get the mode of the training rows.
+    """
     stratify = "label" if spec.task == "classification" else None
     rows = df.where(F.col(spec.target).isNotNull()).select(
         F.col(spec.target).cast("double").alias(LABEL),
@@ -157,11 +179,13 @@ def prepare(df: DataFrame, spec: ModelSpec) -> DataFrame:
     split = stratified_split(rows, stratify, "row_key", spec.train_share)
     if spec.balanced:
         split = with_class_weights(split, LABEL)
-    for name in spec.categorical:
-        # the fill value is learned from the training rows only
-        mode = modes(split.where("is_train"), name).select("mode").scalar()
-        split = split.withColumn(name, F.coalesce(F.col(name), mode))
-    return split
+    held = split.persist()
+    if not spec.categorical:
+        return Prepared(held, held)
+    train = held.where("is_train")
+    fill = {c: modes(train, c).first() for c in spec.categorical}
+    known = {c: row["mode"] for c, row in fill.items() if row and row["mode"] is not None}
+    return Prepared(held.na.fill(known) if known else held, held)
 
 
 def pipeline(spec: ModelSpec) -> Pipeline:
@@ -200,9 +224,9 @@ def estimator(spec: ModelSpec):
     return made
 
 
-def fit(split: DataFrame, spec: ModelSpec) -> PipelineModel:
+def fit(split: Prepared, spec: ModelSpec) -> PipelineModel:
     """Fit on the training rows only (action)."""
-    return pipeline(spec).fit(split.where("is_train"))
+    return pipeline(spec).fit(split.train)
 
 
 def evaluate(scored: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -218,10 +242,10 @@ def evaluate(scored: DataFrame, spec: ModelSpec) -> DataFrame:
 
 def train_eval(df: DataFrame, spec: ModelSpec) -> DataFrame:
     """Train one model and return its test metrics as one row (action)."""
-    split = prepare(df, spec).persist()
+    split = prepare(df, spec)
     model = fit(split, spec)
-    result = one_row(evaluate(model.transform(split.where(~F.col("is_train"))), spec))
-    split.unpersist()
+    result = one_row(evaluate(model.transform(split.test), spec))
+    split.release()
     return result
 
 
@@ -257,18 +281,18 @@ def baseline_model(
 def compare_models(df: DataFrame, specs: dict[str, ModelSpec], metric: str) -> DataFrame:
     """Same split, several models, ranked by a metric with fit and score time (action)."""
     first = next(iter(specs.values()))
-    split = prepare(df, first).persist()
+    split = prepare(df, first)
     spark = df.sparkSession
     rows = []
     for name, spec in specs.items():
         started = time.perf_counter()
         model = fit(split, spec)
         fitted = time.perf_counter()
-        result = evaluate(model.transform(split.where(~F.col("is_train"))), spec).first()
+        result = evaluate(model.transform(split.test), spec).first()
         rows.append(
             (name, float(result[metric]), fitted - started, time.perf_counter() - fitted)
         )
-    split.unpersist()
+    split.release()
     table = spark.createDataFrame(
         rows, f"model string, {metric} double, fit_seconds double, score_seconds double"
     )
@@ -302,9 +326,9 @@ def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
     """
     if spec.categorical:
         raise ValueError("feature importance takes numeric features")
-    split = prepare(df, spec).persist()
+    split = prepare(df, spec)
     model = fit(split, spec)
-    test = split.where(~F.col("is_train"))
+    test = split.test
     metric = "accuracy" if spec.task == "classification" else "r2"
 
     def score(rows: DataFrame) -> float:
@@ -322,7 +346,7 @@ def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
         (name, float(built_in[i]), whole - score(permuted(test, name)))
         for i, name in enumerate(spec.numeric)
     ]
-    split.unpersist()
+    split.release()
     table = df.sparkSession.createDataFrame(
         rows, "feature string, forest_importance double, permutation_importance double"
     )
@@ -339,7 +363,7 @@ def feature_group_ablation(
     df: DataFrame, spec: ModelSpec, groups: dict[str, list[str]], metric: str
 ) -> DataFrame:
     """Score with each feature group alone and with each removed (action)."""
-    split = prepare(df, spec).persist()
+    split = prepare(df, spec)
 
     def score(kept: list[str]) -> float:
         part = ModelSpec(
@@ -349,7 +373,7 @@ def feature_group_ablation(
             spec.model, spec.task, spec.train_share, spec.balanced, spec.params,
         )
         model = fit(split, part)
-        scored = model.transform(split.where(~F.col("is_train")))
+        scored = model.transform(split.test)
         return float(evaluate(scored, part).first()[metric])
 
     everything = [c for members in groups.values() for c in members]
@@ -358,7 +382,7 @@ def feature_group_ablation(
     for name, members in groups.items():
         rest = [c for c in everything if c not in members]
         rows.append((name, score(members), score(rest) if rest else None, whole))
-    split.unpersist()
+    split.release()
     table = df.sparkSession.createDataFrame(
         rows, "feature_group string, alone double, removed double, all_features double"
     )

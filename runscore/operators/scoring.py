@@ -11,9 +11,7 @@ from runscore.functions import scoring as S
 from runscore.functions import text as X
 from runscore.schemas import (
     COMPONENTS,
-    EVALUATION_DDL,
     FEEDBACK,
-    FEEDBACK_DDL,
     PASS_THRESHOLD,
     QUALIFY_THRESHOLD,
 )
@@ -322,7 +320,8 @@ def score_table(
 def evaluate_runs(runs: DataFrame, **options) -> DataFrame:
     """Replace ``evaluation`` by a fresh one and add the ``feedback`` struct.
 
-    One projection chain, no shuffle. Options are those of :func:`score_table`.
+    One projection chain, no shuffle. The structs are built without casts, so a
+    reader of a few fields does not pay for the others. Options are those of :func:`score_table`.
     """
     table = score_table(runs, **options)
     scores = component_columns()
@@ -346,7 +345,7 @@ def evaluate_runs(runs: DataFrame, **options) -> DataFrame:
         F.col("decision_score"),
         F.col("critic.summary").alias("decision_summary"),
         F.col("critic.recommendations").alias("decision_recommendations"),
-    ).cast(FEEDBACK_DDL)
+    )
     notes = F.concat(
         F.lit("Evaluated for: "), F.substring("task", 1, 200), F.lit(" | "), F.col("gap_summary")
     )
@@ -362,7 +361,7 @@ def evaluate_runs(runs: DataFrame, **options) -> DataFrame:
         F.col("critic").alias("decision_evaluation"),
         F.col("decision_score").alias("decision_quality_score"),
         F.col("feedback").alias("structured_feedback"),
-    ).cast(EVALUATION_DDL)
+    )
     kept = [c for c in runs.columns if c not in ("evaluation", "feedback")]
     return (
         table.withColumn("feedback", feedback)

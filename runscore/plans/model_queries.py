@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runscore.operators import models as M
 from runscore.plans.data_queries import FEATURES, lineitem
 from runscore.plans.registry import query
+from runscore.runtime import spread_small
 
 GROUPS = {"price": ["l_quantity", "l_extendedprice"], "terms": ["l_discount", "l_tax", "l_linestatus"]}
 FOREST = {"numTrees": 20, "maxDepth": 6}
@@ -18,7 +19,7 @@ FOREST = {"numTrees": 20, "maxDepth": 6}
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with a yes/no target and some missing inputs."""
     line = F.col("l_linenumber")
-    return lineitem(spark, sf_dir).select(
+    return spread_small(lineitem(spark, sf_dir)).select(
         "l_orderkey",
         *FEATURES[1:],
         F.when(line != 7, F.col("l_quantity")).alias("l_quantity"),
@@ -93,7 +94,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w17_counterfactuals")
 def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewest changes of quantity and discount that turn a large line into a small one."""
-    lines = lineitem(spark, sf_dir).withColumns(
+    lines = spread_small(lineitem(spark, sf_dir)).withColumns(
         {
             "dear": (F.col("l_quantity") * (1 - F.col("l_discount")) > 24).cast("int"),
             "line_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
@@ -105,7 +106,7 @@ def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     split = M.prepare(lines, wanted)
     model = M.fit(split, wanted)
-    chosen = model.transform(split).where(F.col(M.PREDICTION) == 1.0).select(
+    chosen = model.transform(split.rows).where(F.col(M.PREDICTION) == 1.0).select(
         "row_key", *wanted.numeric
     )
     edits = [
@@ -121,7 +122,7 @@ def model_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = price_spec(model="linear", params={}, categorical=())
     split = M.prepare(labelled(spark, sf_dir), wanted)
     weights = M.coefficients_of(M.fit(split, wanted), wanted)
-    explained = M.local_contributions(split.na.drop(subset=list(wanted.numeric)), weights)
+    explained = M.local_contributions(split.rows.na.drop(subset=list(wanted.numeric)), weights)
     return M.global_contributions(explained, list(wanted.numeric))
 
 
@@ -132,7 +133,7 @@ def model_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     wanted = price_spec(model="linear", params={})
     split = M.prepare(labelled(spark, sf_dir), wanted)
-    scored = M.fit(split, wanted).transform(split)
+    scored = M.fit(split, wanted).transform(split.rows)
     rows = scored.select("row_key", (F.col(M.LABEL) - F.col(M.PREDICTION)).alias("residual"))
     return score_residuals(rows, 1.5).where("is_anomaly").select("row_key", "residual", "z")
 
