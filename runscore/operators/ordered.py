@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 4096
+BROADCAST_ROWS = 10_000
 _OCTAVES = 1100  # every finite double lies within 2**-1100 .. 2**1100
 
 
@@ -28,20 +29,38 @@ def value_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys]
-    )
-
+def small_or_whole(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has at most ``limit`` rows (action).
 
-def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    The planner cannot know that an aggregate will be small and would shuffle
+    the large side of a join with it. So the rows are counted for real: up to
+    ``limit`` rows are fetched and become the broadcast side. A larger table is
+    returned as it is and joined by shuffle.
+    """
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
+def attach(
+    rows: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    *,
+    check_size: bool = True,
+) -> DataFrame:
     """Join a table with one row per key to rows, matching null keys too.
 
-    No hint is given: Spark broadcasts the table only if it is under the size
-    limit, and splits hot keys of ``rows`` (adaptive skew join) if not.
+    With ``check_size`` a table found to be small is broadcast, so ``rows`` are
+    not shuffled (action). Without it, or for a larger table, Spark chooses the
+    join and splits hot keys of ``rows`` at run time (adaptive skew join).
     """
     if not keys:
         raise ValueError("attach needs at least one key")
+    if check_size:
+        table = small_or_whole(table)
     renamed = table.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         *[F.col(c) for c in table.columns if c not in keys],
@@ -141,6 +160,9 @@ def running_totals(
 ) -> DataFrame:
     """For each distinct value the totals over all smaller values of its group.
 
+    The join with the bucket offsets and the window use the same keys, so they
+    share one shuffle of the distinct values.
+
     ``counted`` has one row per (group, value) with the columns in ``sums``.
     Adds ``<name>_before`` for each of them.
     """
@@ -168,7 +190,7 @@ def running_totals(
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = attach(rows, offsets, [*by, "bucket"])
+    joined = attach(rows, offsets, [*by, "bucket"], check_size=False)
     return joined.withColumns(
         {
             f"{s}_before": F.col(f"{s}_offset") + F.coalesce(F.sum(s).over(within), F.lit(0))

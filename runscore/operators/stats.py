@@ -127,7 +127,7 @@ def wilcoxon(
     variance = m * (m + 1) * (2 * m + 1) / 24.0 - F.col("tie_term") / 48.0
     score = F.try_divide(w - m * (m + 1) / 4.0, F.sqrt(variance))
     return (
-        attach(groups, sums, by, "left")
+        attach(groups, sums, by, "left", check_size=False)
         .withColumns(
             {
                 "w": F.coalesce(w, F.lit(0.0)),
@@ -155,7 +155,7 @@ def paired_stats(
         .withColumn("cohen_d", effect_size())
     )
     ranks = wilcoxon(pairs, by, digits).drop("n")
-    return attach(tested, ranks, by).select(
+    return attach(tested, ranks, by, check_size=False).select(
         *by, "n", "t", "t_p", "w", "z", "w_p", "ci_low", "ci_high", "mean_diff",
         F.col("sd_pop").alias("sd_diff"), "cohen_d",
     )

@@ -34,7 +34,7 @@ def overall_metrics(pairs: DataFrame) -> DataFrame:
         F.coalesce(F.avg("delta"), F.lit(0.0)).alias("d"),
         F.coalesce(F.stddev_pop("delta"), F.lit(0.0)).alias("s"),
     )
-    joined = attach(means, medians(pairs, "delta", ["metric"], "m"), ["metric"], "left")
+    joined = attach(means, medians(pairs, "delta", ["metric"], "m"), ["metric"], "left", check_size=False)
     percent = F.coalesce(F.try_divide(F.col("d"), F.col("b")) * 100.0, F.lit(0.0))
     return joined.select(
         "metric",
