@@ -6,13 +6,19 @@ Applied to aggregated rows only: one row per tested group, never the data.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# send these functions with the tasks, so that workers need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300

@@ -120,6 +120,28 @@ def test_percentiles_match_brute_force(spark):
     assert alone == pytest.approx(statistics.median(v for _, v, _ in rows if v is not None))
 
 
+def test_too_many_groups_are_not_fetched(spark):
+    groups = 12_000
+    table = spark.range(groups).select(
+        F.col("id").alias("g"),
+        F.explode(F.array(F.col("id").cast("double"), F.col("id") + 1.0)).alias("v"),
+    )
+    found = exact_percentiles(table, "v", {"m": 0.5}, ["g"])
+    # the join side stays a plan instead of becoming fetched rows
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    wrong = found.where(F.abs(F.col("m") - F.col("g") - 0.5) > 1e-9)
+    assert found.count() == groups and wrong.count() == 0
+
+
+def test_few_groups_do_not_shuffle_the_rows(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    found = exact_percentiles(lines, "l_quantity", {"m": 0.5}, ["l_returnflag"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ExistingRDD" in plan
+    # what is shuffled was counted per distinct value first
+    assert plan.index("partial_count") < plan.index("FileScan")
+
+
 def test_order_statistics_outside_group_is_null(spark):
     table = spark.createDataFrame([(1.0,), (2.0,)], "v double")
     row = order_statistics(table, "v", {"first": F.lit(0), "third": F.lit(2)}).first()
