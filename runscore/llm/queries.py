@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_digests, format_chats
+from .mixture import mix_plan
 from .near_copies import near_copies
-from .store import read_table
+from .shards import shard_documents
+from .store import Scratch, read_table
+from .token_files import token_digests, write_token_files
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
 
 def job(name: str, sql: str | None = None):
     def put(make: Callable[[SparkSession, str], DataFrame]):
@@ -23,6 +31,34 @@ def job(name: str, sql: str | None = None):
     return put
 
 
+@job("op3_mixture")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(read_table(spark, sf_dir, "documents"))
+
+
+@job("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token-files").path("tokens")
+    write_token_files(read_table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
+    return token_digests(spark, path)
+
+
+@job("op8_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"), 16)
+
+
+@job("op9_chat")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    scratch = Scratch(spark, "chats")
+    return chat_digests(scratch.keep(format_chats(conversations.unionByName(probe)), "formatted"))
+
+
 @job("op10_near_copies")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"))
