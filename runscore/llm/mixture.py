@@ -103,24 +103,48 @@ def fly(size: np.ndarray, chance: np.ndarray, seed: int) -> np.ndarray:
     return np.array(p)
 
 
-def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Decide the few documents still open so that the words come nearest to their sum."""
-    out = chance.copy()
-    left = np.flatnonzero((chance > 0) & (chance < 1))
+def land(size: np.ndarray, chance: np.ndarray, flown: np.ndarray) -> np.ndarray:
+    """Decide the few documents still open so that the words come nearest to their sum.
+
+    Then the remaining difference is made smaller by single exchanges between a
+    taken and an untaken document of the block.
+    """
+    out = flown.copy()
+    movable = np.flatnonzero((chance > TINY) & (chance < 1 - TINY))
+    left = np.flatnonzero((flown > 0) & (flown < 1))
+    want = float((size * chance).sum())
     if len(left):
-        want = float((size[left] * chance[left]).sum())
+        decided = want - float((np.delete(size, left) * np.delete(flown, left)).sum())
         choices = [[(c >> k) & 1 for k in range(len(left))] for c in range(1 << len(left))]
-        out[left] = min(choices, key=lambda x: (abs(float((size[left] * x).sum()) - want), x))
+        out[left] = min(choices, key=lambda x: (abs(float((size[left] * x).sum()) - decided), x))
+    for _ in range(3):
+        missing = want - float((size * out).sum())
+        taken, free = movable[out[movable] == 1], movable[out[movable] == 0]
+        if not len(taken) or not len(free):
+            break
+        free = free[np.argsort(size[free], kind="stable")]
+        sizes = size[free]
+        at = np.searchsorted(sizes, size[taken] + missing)
+        best = (abs(missing) - 0.5, None)
+        for near in (np.clip(at - 1, 0, len(free) - 1), np.clip(at, 0, len(free) - 1)):
+            rest = np.abs(missing - (sizes[near] - size[taken]))
+            k = int(np.argmin(rest))
+            if rest[k] < best[0]:
+                best = (float(rest[k]), (taken[k], free[near[k]]))
+        if best[1] is None:
+            break
+        out[best[1][0]], out[best[1][1]] = 0.0, 1.0
     return out
 
 
 def _flight(level: int, last: bool):
-    def run(key, block: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "order"], ascending=[False, True], kind="stable")
         seed = zlib.crc32(f"{level}|{key[0]}|{key[1]}".encode())
         size = block["size"].to_numpy(np.int64)
-        chance = fly(size, block["chance"].to_numpy(np.float64), seed)
-        return block.assign(chance=land(size, chance) if last else chance)
+        chance = block["chance"].to_numpy(np.float64)
+        flown = fly(size, chance, seed)
+        return block.assign(chance=land(size, chance, flown) if last else flown)
 
     return run
 

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
+from .fuzzy_lines import line_groups
+from .leakage import find_leaks
+from .metric_tree import top_inner_products
 from .mixture import mix_plan
 from .near_copies import near_copies
+from .quality import classify_quality
 from .shards import shard_documents
 from .store import Scratch, read_table
 from .token_files import token_digests, write_token_files
+from .toxic_passages import fit_passages, score_toxicity
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,11 +37,40 @@ def job(name: str, sql: str | None = None):
     return put
 
 
+def _held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def _classified(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(_held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@job("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return _classified(classify_quality(documents, labels), 0.7)
+
+
+@job("op2_metric_tree")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(read_table(spark, sf_dir, "embeddings"))
+
+
 @job("op3_mixture")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+@job("op4_fuzzy_lines")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_groups(read_table(spark, sf_dir, "documents"))
+
+
 @job("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-files").path("tokens")
@@ -43,6 +78,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+@job("op6_leakage")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@job("op7_toxic_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return _classified(score_toxicity(documents, fit_passages(documents, labels)), 0.3)
+
+
 @job("op8_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), 16)
@@ -62,3 +108,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job("op10_near_copies")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"))
+
+
+@job("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
