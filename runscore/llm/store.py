@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """Within it, Spark removes an execution's shuffle files when the execution ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Named Parquet tables of one job below the shared folder.
 
@@ -33,8 +46,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        """Write the frame (action) and read it back."""
-        frame.write.option("compression", "zstd").parquet(self.path(name))
+        """Write the frame (action) and read it back; its shuffle files go as soon as it is written."""
+        with shuffles_released(self.spark):
+            frame.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

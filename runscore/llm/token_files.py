@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import shuffles_released
 from .words import slices
 
 CACHED_WORDS = 500_000  # words whose ids a Python worker remembers, then it starts anew
@@ -167,7 +168,7 @@ def write_token_files(
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
-    (
+    writer = (
         ordered.mapInArrow(_encode(tokenizer_path, end_id), _FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -176,8 +177,9 @@ def write_token_files(
         .option("parquet.enable.dictionary", "true")
         .option("parquet.enable.dictionary#doc_id", "false")
         .option("parquet.enable.dictionary#start_in_part", "false")
-        .parquet(path)
     )
+    with shuffles_released(documents.sparkSession):
+        writer.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
