@@ -210,13 +210,16 @@ def near_copies(
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     described = scratch.keep(texts.mapInArrow(_describe(width, num, den), _DESCRIBED), "described")
 
-    named = described.where("doc is not null and n > 0")
+    # the keys are wanted for one document of each class only
+    sizes = scratch.keep(described.select("doc", "n", "s1", "s2"), "sizes")
+    named = sizes.where("doc is not null and n > 0")
     classes = named.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
-    leaders = named.join(
+    leaders = described.where("n > 0").join(
         classes.select("s1", "s2", F.col("node").alias("doc")), ["s1", "s2", "doc"], "left_semi"
     )
     leaders = scratch.keep(leaders.select(F.col("doc").alias("node"), "n", *_SKETCH, "keys"), "leaders")
+    scratch.drop("described")
     rows = leaders.select("node", F.explode("keys").alias("key"))
     groups = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     met = scratch.keep(
@@ -258,7 +261,7 @@ def near_copies(
     )
     linked = named.select("doc", "n", "s1", "s2").join(of_class, ["s1", "s2"])
     # a repeated id stands for one document: the smallest component of its texts
-    alone = described.where("doc is null or n = 0").select(
+    alone = sizes.where("doc is null or n = 0").select(
         "doc", "n", F.lit(0).cast("long").alias("copies"), F.col("doc").alias("component")
     )
     return linked.select("doc", "n", "copies", "component").union(alone).select(
