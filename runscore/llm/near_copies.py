@@ -30,6 +30,7 @@ from .words import mix, slices, word_hashes
 
 SKETCH_WORDS = 8  # longs of the sketch over the whole set
 BAND_RATIO = 1.35
+PASSES = 6  # parts of the keys that meet one after the other, so that few shuffle files exist at a time
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -125,19 +126,31 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _describe(width: int, num: int, den: int):
+def _describe(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = list(shingle_sets(part.column(1), width))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc": part.column(0),
+                        "n": pa.array([len(s) for s in sets], pa.int64()),
+                        "s1": pa.array(_signed([s.sum(dtype=np.uint64) for s in sets])),
+                        "s2": pa.array(_signed([mix(s ^ _STEP[1]).sum(dtype=np.uint64) for s in sets])),
+                    }
+                )
+
+    return run
+
+
+def _lead(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
             for part in slices(batch, 1):
                 sets = list(shingle_sets(part.column(1), width))
                 sketches = np.stack([whole_sketch(s) for s in sets])
-                out = {
-                    "doc": part.column(0),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "s1": pa.array(_signed([s.sum(dtype=np.uint64) for s in sets])),
-                    "s2": pa.array(_signed([mix(s ^ _STEP[1]).sum(dtype=np.uint64) for s in sets])),
-                }
+                out = {"node": part.column(0), "n": pa.array([len(s) for s in sets], pa.int64())}
                 for i in range(SKETCH_WORDS):
                     out[f"k{i}"] = pa.array(_signed(sketches[:, i].copy()))
                 out["keys"] = _lists([block_keys(s, bands) for s in sets])
@@ -157,7 +170,7 @@ def _sets(width: int):
 
 
 _SKETCH = [f"k{i}" for i in range(SKETCH_WORDS)]
-_DESCRIBED = "doc long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in _SKETCH) + ", keys array<long>"
+_LED = "node long, n long, " + ", ".join(f"{k} long" for k in _SKETCH) + ", keys array<long>"
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -208,23 +221,20 @@ def near_copies(
     """
     scratch = Scratch(documents.sparkSession, "near-copies")
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    described = scratch.keep(texts.mapInArrow(_describe(width, num, den), _DESCRIBED), "described")
+    described = scratch.keep(texts.mapInArrow(_describe(width), "doc long, n long, s1 long, s2 long"), "described")
 
-    # the keys are wanted for one document of each class only
-    sizes = scratch.keep(described.select("doc", "n", "s1", "s2"), "sizes")
-    named = sizes.where("doc is not null and n > 0")
+    named = described.where("doc is not null and n > 0")
     classes = named.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
-    leaders = described.where("n > 0").join(
-        classes.select("s1", "s2", F.col("node").alias("doc")), ["s1", "s2", "doc"], "left_semi"
-    )
-    leaders = scratch.keep(leaders.select(F.col("doc").alias("node"), "n", *_SKETCH, "keys"), "leaders")
-    scratch.drop("described")
-    rows = leaders.select("node", F.explode("keys").alias("key"))
-    groups = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    met = scratch.keep(
-        rows.join(groups.where("least < most").select("key", "least"), "key").select("key", "node", "least"), "met"
-    )
+    # keys are wanted for one document of each class only
+    leading = texts.join(classes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi").select("doc", "text")
+    leaders = scratch.keep(leading.mapInArrow(_lead(width, num, den), _LED), "leaders")
+    met = None
+    for turn in range(PASSES):
+        rows = leaders.select("node", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(PASSES)) == turn)
+        groups = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+        part = scratch.keep(rows.join(groups.select("key", "least"), "key").select("key", "node", "least"), f"met-{turn}")
+        met = part if met is None else met.union(part)
     sketches = leaders.select("node", "n", *_SKETCH)
 
     stars = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
@@ -254,14 +264,13 @@ def near_copies(
     more = _verified(scratch, texts, across, width, num, den, "across")
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = connected_components(scratch, edges, "final")
-    scratch.drop("met", "rest", "leaders")
+    scratch.drop("rest", "leaders", *[f"met-{turn}" for turn in range(PASSES)])
 
     of_class = classes.join(final, "node", "left").select(
         "s1", "s2", "copies", F.coalesce("component", "node").alias("component")
     )
     linked = named.select("doc", "n", "s1", "s2").join(of_class, ["s1", "s2"])
-    # a repeated id stands for one document: the smallest component of its texts
-    alone = sizes.where("doc is null or n = 0").select(
+    alone = described.where("doc is null or n = 0").select(
         "doc", "n", F.lit(0).cast("long").alias("copies"), F.col("doc").alias("component")
     )
     return linked.select("doc", "n", "copies", "component").union(alone).select(
