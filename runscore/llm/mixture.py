@@ -23,6 +23,7 @@ from .store import Scratch
 BLOCK_ROWS = 4000
 MOST_COPIES = 3
 TINY = 1e-9
+MOST_EXCHANGES = 200  # after landing, in a block; usually one or two
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,7 +107,7 @@ def fly(size: np.ndarray, chance: np.ndarray, seed: int) -> np.ndarray:
 def land(size: np.ndarray, chance: np.ndarray, flown: np.ndarray) -> np.ndarray:
     """Decide the few documents still open so that the words come nearest to their sum.
 
-    Then the remaining difference is made smaller by single exchanges between a
+    Then the remaining difference is made smaller by exchanges, one by one, between a
     taken and an untaken document of the block.
     """
     out = flown.copy()
@@ -117,7 +118,7 @@ def land(size: np.ndarray, chance: np.ndarray, flown: np.ndarray) -> np.ndarray:
         decided = want - float((np.delete(size, left) * np.delete(flown, left)).sum())
         choices = [[(c >> k) & 1 for k in range(len(left))] for c in range(1 << len(left))]
         out[left] = min(choices, key=lambda x: (abs(float((size[left] * x).sum()) - decided), x))
-    for _ in range(3):
+    for _ in range(MOST_EXCHANGES):
         missing = want - float((size * out).sum())
         taken, free = movable[out[movable] == 1], movable[out[movable] == 0]
         if not len(taken) or not len(free):
