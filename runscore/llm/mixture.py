@@ -120,21 +120,25 @@ def land(size: np.ndarray, chance: np.ndarray, flown: np.ndarray) -> np.ndarray:
         out[left] = min(choices, key=lambda x: (abs(float((size[left] * x).sum()) - decided), x))
     for _ in range(MOST_EXCHANGES):
         missing = want - float((size * out).sum())
-        taken, free = movable[out[movable] == 1], movable[out[movable] == 0]
-        if not len(taken) or not len(free):
-            break
-        free = free[np.argsort(size[free], kind="stable")]
-        sizes = size[free]
-        at = np.searchsorted(sizes, size[taken] + missing)
+        # -1 stands for no document, so one may also come or go alone
+        taken = np.append(movable[out[movable] == 1], -1)
+        free = np.append(movable[out[movable] == 0], -1)
+        leaving = np.where(taken < 0, 0, size[taken])
+        coming = np.where(free < 0, 0, size[free])
+        order = np.argsort(coming, kind="stable")
+        free, coming = free[order], coming[order]
+        at = np.searchsorted(coming, leaving + missing)
         best = (abs(missing) - 0.5, None)
         for near in (np.clip(at - 1, 0, len(free) - 1), np.clip(at, 0, len(free) - 1)):
-            rest = np.abs(missing - (sizes[near] - size[taken]))
+            rest = np.abs(missing - (coming[near] - leaving))
             k = int(np.argmin(rest))
             if rest[k] < best[0]:
                 best = (float(rest[k]), (taken[k], free[near[k]]))
         if best[1] is None:
             break
-        out[best[1][0]], out[best[1][1]] = 0.0, 1.0
+        for document, value in zip(best[1], (0.0, 1.0)):
+            if document >= 0:
+                out[document] = value
     return out
 
 

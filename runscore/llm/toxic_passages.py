@@ -126,9 +126,9 @@ def _best(model: Passages, column: int):
         for batch in batches:
             for part in slices(batch, column):
                 hashes, bounds, _, _ = word_hashes(part.column(column), _ENDS_TOKEN)
-                known = np.isin(hashes, model.tokens[model.odds > LOSS]) if len(model.tokens) else np.zeros(0, bool)
+                known = np.isin(hashes, model.tokens[model.odds > LOSS])
                 total = np.concatenate([[0], np.cumsum(known)])
-                hits = total[bounds[1:]] - total[bounds[:-1]] if len(hashes) else np.zeros(len(part), np.int64)
+                hits = total[bounds[1:]] - total[bounds[:-1]]
                 evidence, best, count = [], [], []
                 for k in range(len(part)):
                     found = model.segments(hashes[bounds[k] : bounds[k + 1]]) if hits[k] else []
