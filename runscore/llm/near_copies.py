@@ -229,12 +229,15 @@ def near_copies(
     # keys are wanted for one document of each class only
     leading = texts.join(classes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi").select("doc", "text")
     leaders = scratch.keep(leading.mapInArrow(_lead(width, num, den), _LED), "leaders")
-    met = None
+    parts = []
     for turn in range(PASSES):
         rows = leaders.select("node", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(PASSES)) == turn)
         groups = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-        part = scratch.keep(rows.join(groups.select("key", "least"), "key").select("key", "node", "least"), f"met-{turn}")
-        met = part if met is None else met.union(part)
+        met = rows.join(groups.select("key", "least"), "key").select("key", "node", "least")
+        parts.append(scratch.keep(met, f"met-{turn}"))
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.union(part)
     sketches = leaders.select("node", "n", *_SKETCH)
 
     stars = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
@@ -246,25 +249,34 @@ def near_copies(
     links = _verified(scratch, texts, stars, width, num, den, "stars")
     found = connected_components(scratch, links, "first")
 
-    placed = met.where("node != least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    rest = placed.join(open_keys.select("key"), "key", "left_semi").join(sketches, "node")
-    rest = scratch.keep(rest.select("key", "node", "component", "n", *_SKETCH), "rest")
-    across = (
-        rest.alias("x")
-        .join(
-            rest.alias("y"),
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.component") != F.col("y.component"))
-            & _may_link(num, den),
+    across = None
+    for turn, part in enumerate(parts):
+        placed = (
+            part.where("node != least")
+            .join(found, "node", "left")
+            .select("key", "node", F.coalesce("component", "node").alias("component"))
         )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
+        open_keys = (
+            placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+        )
+        rest = placed.join(open_keys.select("key"), "key", "left_semi").join(sketches, "node")
+        pairs = (
+            rest.alias("x")
+            .join(
+                rest.alias("y"),
+                (F.col("x.key") == F.col("y.key"))
+                & (F.col("x.node") < F.col("y.node"))
+                & (F.col("x.component") != F.col("y.component"))
+                & _may_link(num, den),
+            )
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        )
+        kept = scratch.keep(pairs.distinct(), f"across-{turn}")
+        across = kept if across is None else across.union(kept)
     more = _verified(scratch, texts, across, width, num, den, "across")
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = connected_components(scratch, edges, "final")
-    scratch.drop("rest", "leaders", *[f"met-{turn}" for turn in range(PASSES)])
+    scratch.drop("leaders", *[f"met-{turn}" for turn in range(PASSES)])
 
     of_class = classes.join(final, "node", "left").select(
         "s1", "s2", "copies", F.coalesce("component", "node").alias("component")
