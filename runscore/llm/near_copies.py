@@ -28,7 +28,7 @@ from .components import connected_components
 from .store import Scratch
 from .words import mix, slices, word_hashes
 
-SKETCH_WORDS = 8  # longs of the sketch over the whole set
+SKETCH_WORDS = 32  # longs of the sketch over the whole set
 BAND_RATIO = 1.35
 PASSES = 6  # parts of the keys that meet one after the other, so that few shuffle files exist at a time
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
