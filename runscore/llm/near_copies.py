@@ -13,6 +13,10 @@ Equal sets are one class and take part once. In each group of classes sharing a
 block, all are verified against the least one; the components of those links
 are formed, and only groups that still span several components compare the rest
 across components, so a large group of near copies is never paired out.
+
+Before whole sets are brought together, candidates pass a second parity sketch
+whose length grows with the set: one of fixed length says nothing about long
+documents, which share some block by chance more often than not.
 """
 
 from __future__ import annotations
@@ -116,6 +120,13 @@ def whole_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8)).view(">u8").astype(np.uint64)
 
 
+def long_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity sketch of at least two bits a token, a power of two of longs; its halves XOR to the next shorter one."""
+    longs = 1 << max(0, int(np.ceil(np.log2(max(1, len(tokens)) / 32))))
+    cell = (mix(tokens ^ _STEP[2]) & np.uint64(longs * 64 - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=longs * 64) & 1).astype(np.uint8)).view(">u8").astype(np.uint64)
+
+
 def _signed(values) -> np.ndarray:
     return np.asarray(values, dtype=np.uint64).view(np.int64)
 
@@ -153,6 +164,7 @@ def _lead(width: int, num: int, den: int):
                 out = {"node": part.column(0), "n": pa.array([len(s) for s in sets], pa.int64())}
                 for i in range(SKETCH_WORDS):
                     out[f"k{i}"] = pa.array(_signed(sketches[:, i].copy()))
+                out["sketch"] = _lists([long_sketch(s) for s in sets])
                 out["keys"] = _lists([block_keys(s, bands) for s in sets])
                 yield pa.RecordBatch.from_pydict(out)
 
@@ -170,7 +182,7 @@ def _sets(width: int):
 
 
 _SKETCH = [f"k{i}" for i in range(SKETCH_WORDS)]
-_LED = "node long, n long, " + ", ".join(f"{k} long" for k in _SKETCH) + ", keys array<long>"
+_LED = "node long, n long, " + ", ".join(f"{k} long" for k in _SKETCH) + ", sketch array<long>, keys array<long>"
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -183,9 +195,34 @@ def _may_link(num: int, den: int) -> Column:
     )
 
 
-def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
+def _folded(sketch: Column, longs: Column) -> Column:
+    """The sketch at the given length, which is its own or half of it (sizes of a pair are that near)."""
+    halves = F.zip_with(F.slice(sketch, F.lit(1), longs), F.slice(sketch, longs + 1, longs), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(sketch) > longs, halves).otherwise(sketch)
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose long sketches differ in no more bits than links allow."""
+    longs = F.least(F.size("sa"), F.size("sb"))
+    apart = F.aggregate(
+        F.zip_with(_folded(F.col("sa"), longs), _folded(F.col("sb"), longs), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+        F.lit(0),
+        lambda total, bits: total + bits,
+    )
+    return (
+        pairs.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+        .where(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    )
+
+
+def _verified(
+    scratch: Scratch, texts: DataFrame, leaders: DataFrame, pairs: DataFrame, width: int, num: int, den: int, name: str
+) -> DataFrame:
     """The pairs (a, b) whose sets link, counted exactly on both whole sets."""
     pairs = scratch.keep(pairs.select("a", "b").distinct(), f"{name}-pairs")
+    pairs = scratch.keep(_close(pairs, leaders, num, den).select("a", "b").distinct(), f"{name}-close")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     sets = (
         texts.join(nodes, "doc", "left_semi")
@@ -246,7 +283,7 @@ def near_copies(
         .join(sketches.alias("y"), F.col("b") == F.col("y.node"))
         .where(_may_link(num, den))
     )
-    links = _verified(scratch, texts, stars, width, num, den, "stars")
+    links = _verified(scratch, texts, leaders, stars, width, num, den, "stars")
     found = connected_components(scratch, links, "first")
 
     across = None
@@ -273,7 +310,7 @@ def near_copies(
         )
         kept = scratch.keep(pairs.distinct(), f"across-{turn}")
         across = kept if across is None else across.union(kept)
-    more = _verified(scratch, texts, across, width, num, den, "across")
+    more = _verified(scratch, texts, leaders, across, width, num, den, "across")
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = connected_components(scratch, edges, "final")
     scratch.drop("leaders", *[f"met-{turn}" for turn in range(PASSES)])

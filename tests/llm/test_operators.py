@@ -261,3 +261,33 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas().sort_values("start")
     assert len(corpus_pipeline.STAGES) == 5
     assert (out["start"].to_numpy()[1:] == np.cumsum(out["n_tokens"].to_numpy())[:-1]).all()
+
+
+def test_long_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size, other in [(0, 1), (1, 1), (31, 33), (64, 65), (900, 1100), (5000, 4100), (5000, 5000)]:
+        pool = rng.integers(0, 2**63, 2 * (size + other), dtype=np.uint64)
+        shared = min(size, other) // 2
+        a = np.unique(pool[:size])
+        b = np.unique(np.concatenate([pool[:shared], pool[size : size + other - shared]]))
+        x, y = near_copies.long_sketch(a), near_copies.long_sketch(b)
+        assert 64 * len(x) >= 2 * len(a) and len(x) & (len(x) - 1) == 0
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        apart = sum(int(v).bit_count() for v in x ^ y)
+        assert apart <= len(np.setxor1d(a, b))
+        assert near_copies.long_sketch(a).tolist() == near_copies.long_sketch(a[::-1]).tolist()
+
+
+def test_close_pairs_keep_links_of_long_texts_and_drop_chance_pairs(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 9000)]
+    near = list(words)
+    for at in range(50, 9000, 90):
+        near[at] = "changed"
+    other = [f"v{i}" for i in rng.integers(0, 10**6, 9000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, width=5, num=80, den=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
