@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from .store import shuffles_released
 from .words import slices
 
-CACHED_WORDS = 500_000  # words whose ids a Python worker remembers, then it starts anew
+CACHED_WORDS = 80_000  # words of one generation; a Python worker remembers two, so words in use stay
 LONGEST_CACHED = 64  # characters
 JOINED_CHARS = 100_000  # unknown words are encoded together in texts of this length
 ROW_GROUP_BYTES = 32 << 20
@@ -66,6 +66,7 @@ class WordEncoder:
         for name, number in names.items():
             self.spaced[number] = name.startswith("Ġ")  # how byte-level vocabularies write a space
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -90,7 +91,7 @@ class WordEncoder:
         if not self.by_word:
             return [self.whole(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         known = self.known
         split: list[list[str] | None] = []
         unknown: set[str] = set()
@@ -101,7 +102,8 @@ class WordEncoder:
             pieces = _BOUNDARY.split(text) if _UNEVEN.search(text) else text.split(" ")
             split.append(pieces)
             unknown.update(p for p in pieces[1:] if p not in known)
-        self._learn([p for p in unknown if len(p) <= LONGEST_CACHED and " " not in p])
+        known.update((p, self.older[p]) for p in unknown if p in self.older)
+        self._learn([p for p in unknown if p not in known and len(p) <= LONGEST_CACHED and " " not in p])
         out = []
         for text, pieces in zip(texts, split):
             if pieces is None:
