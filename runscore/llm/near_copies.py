@@ -1,13 +1,14 @@
 """N-gram Jaccard join by parity sketches.
 
-Every document is its set of distinct word shingles, as 64-bit hashes. The
-tokens of a set are dealt over blocks by their hash, and each block keeps the
-parity of its tokens per bit (the XOR of their bits): the Hamming distance of
-two sketches never exceeds the symmetric difference of the sets. Sets that link
-differ in at most d tokens, d following from the sizes, so with d + 1 + s blocks
-they have s + 1 equal blocks at least. Blocks of all zeros are no evidence and
-are left out by sets with at most s of them (others keep them), so no link is
-lost. Documents are compared per band of set sizes.
+Every document is its set of distinct word shingles, as 64-bit hashes. A parity
+sketch keeps the parity of the tokens per bit, so the Hamming distance of two
+sketches never exceeds the symmetric difference of the sets. The sketch that is
+joined has a bit for every hash value, in blocks of neighbouring bits; a block is
+carried as the XOR of the mixed numbers of its set bits. Sets that link differ in
+at most d tokens, d following from the sizes, so with d + 1 + s blocks they have
+s + 1 equal blocks at least. Blocks of all zeros are no evidence and are left out
+by sets with at most s of them (others keep them), so no link is lost. Documents
+are compared per band of set sizes.
 
 Equal sets are one class and take part once. In each group of classes sharing a
 block, all are verified against the least one; the components of those links
@@ -99,14 +100,15 @@ class Bands:
 
 
 def block_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys under which a set meets every set that may link with it."""
+    """The keys under which a set meets every set that may link with it; tokens ascend."""
     keys = []
+    running = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(mix(tokens))])
     for band, blocks, spare in bands.of(len(tokens)):
         at = ((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        cell = (at * np.uint64(64) + (tokens & np.uint64(63))).astype(np.int64)
-        parity = (np.bincount(cell, minlength=blocks * 64) & 1).astype(np.uint8)
-        value = np.packbits(parity).view(">u8").astype(np.uint64)
-        number = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
+        number = np.arange(blocks + 1, dtype=np.uint64)
+        until = running[np.searchsorted(at, number)]  # parity of all blocks before
+        value = until[1:] ^ until[:-1]
+        number = number[:-1] + np.uint64(band << 40)
         if int((value == 0).sum()) <= spare:
             number, value = number[value != 0], value[value != 0]
         keys.append(mix(value + mix(number + np.uint64(1))))
