@@ -9,6 +9,7 @@ from runscore.functions.rounding import stable_round
 from runscore.operators.iterations import gap_trend, latest_feedback
 from runscore.operators.metrics import suite_metrics
 from runscore.schemas import BASELINE, COMPONENT_GATE, COMPONENTS, FEEDBACK, METRICS
+from runscore.sources.runs import SUITE_PREFIX
 
 # --- fixed values: interpretation texts -------------------------------------
 READ_GAIN = (
@@ -36,10 +37,9 @@ def latest_per_task(
     runs: DataFrame,
     *,
     task_id: str | None = None,
-    order: list[str] = ("file_name", "run_order"),
     first_result_only: bool = False,
 ) -> DataFrame:
-    """Newest run per (mode, task) by file name.
+    """Run per (mode, task) of the newest file; within a file the first one.
 
     The ``row_number() = 1`` filter becomes a group limit ahead of the shuffle,
     so each input partition ships at most one row per key, however many runs a
@@ -50,8 +50,7 @@ def latest_per_task(
         keyed = keyed.where(F.col("task_id") == task_id)
     if first_result_only:
         keyed = keyed.where(F.col("position") == 0)
-    columns = [c for c in order if c in keyed.columns]
-    newest = Window.partitionBy("mode", "task_id").orderBy(*[F.col(c).desc() for c in columns])
+    newest = Window.partitionBy("mode", "task_id").orderBy(F.col("file_name").desc(), "position", "run_id")
     return (
         keyed.withColumn("newest_rank", F.row_number().over(newest))
         .where(F.col("newest_rank") == 1)
@@ -144,9 +143,14 @@ def compare_metrics(runs: DataFrame) -> DataFrame:
 
 
 def compare_latest(runs: DataFrame) -> DataFrame:
-    """Comparison of the newest file of each condition, tasks unpaired."""
-    newest = runs.groupBy("mode").agg(F.max("file_name").alias("file_name"))
-    return compare_metrics(runs.join(F.broadcast(newest), ["mode", "file_name"], "left_semi"))
+    """Comparison of the newest suite file of each condition, tasks unpaired.
+
+    A condition without suite files takes all of its files.
+    """
+    is_suite = F.col("file_name").startswith(SUITE_PREFIX)
+    newest = runs.groupBy("mode").agg(F.max(F.when(is_suite, F.col("file_name"))).alias("newest"))
+    chosen = runs.join(newest, "mode").where(F.col("newest").isNull() | (F.col("file_name") == F.col("newest")))
+    return compare_metrics(chosen.drop("newest"))
 
 
 def paired_runs_long(runs: DataFrame, **latest) -> DataFrame:

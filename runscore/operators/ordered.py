@@ -21,7 +21,8 @@ _OCTAVES = 1100  # every finite double lies within 2**-1100 .. 2**1100
 
 def value_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     """Bucket number that never decreases as the value grows."""
-    magnitude = F.floor(F.log2(F.abs(value)) * per_octave) + _OCTAVES * per_octave
+    octave = F.least(F.log2(F.abs(value)), F.lit(1024.0))  # infinity shares the last bucket
+    magnitude = F.floor(octave * per_octave) + _OCTAVES * per_octave
     return (
         F.when(value == 0, F.lit(0).cast("long"))
         .when(value > 0, magnitude)
@@ -146,7 +147,8 @@ def exact_percentiles(
     def interpolate(name: str, fraction: float) -> Column:
         at = (F.col("total") - 1) * F.lit(float(fraction))
         low, high = F.col(f"{name}__lo"), F.col(f"{name}__hi")
-        return (low + (high - low) * (at - F.floor(at))).alias(name)
+        between = low + (high - low) * (at - F.floor(at))
+        return F.when(low == high, low).otherwise(between).alias(name)
 
     return found.select(*by, "total", *[interpolate(n, f) for n, f in fractions.items()])
 
@@ -199,14 +201,12 @@ def running_totals(
     ).drop("bucket", *[f"{s}_offset" for s in sums])
 
 
-def spread_key(column: Column, dtype: str) -> Column:
-    """Deterministic, evenly spread order value of a key.
+def spread_key(column: Column) -> Column:
+    """Deterministic, evenly spread order value of a key of any type.
 
-    Integer keys below 2**31 map one to one. Equal keys always get the same
-    value, so copies of a row stay on the same side of a cut.
+    The first 52 bits of a digest of the whole key, exact as a double. Equal
+    keys always get the same value, so copies of a row stay on the same side of
+    a cut.
     """
-    if dtype in ("tinyint", "smallint", "int", "bigint"):
-        low = F.pmod(column.cast("long"), F.lit(2147483648))
-    else:
-        low = F.pmod(F.xxhash64(column), F.lit(2147483648))
-    return F.pmod(low * F.lit(2654435761), F.lit(4294967296)).cast("double")
+    digest = F.substring(F.md5(column.cast("string").cast("binary")), 1, 13)
+    return F.conv(digest, 16, 10).cast("double")

@@ -143,7 +143,7 @@ def stratified_split(
     same key stay together.
     """
     by = [label] if label else []
-    keyed = df.withColumn("__spread", spread_key(F.col(key), dict(df.dtypes)[key]))
+    keyed = df.withColumn("__spread", spread_key(F.col(key)))
     last = F.floor(F.col("total") * F.lit(float(train_share))) - 1
     cuts = order_statistics(keyed, "__spread", {"__cut": last}, by)
     if by:

@@ -81,7 +81,7 @@ def target_top_share(
     rows = df.select(
         F.col(score).cast("double").alias("s"),
         positive.cast("int").alias("p"),
-        spread_key(F.col(key), dict(df.dtypes)[key]).alias("h"),
+        spread_key(F.col(key)).alias("h"),
     ).where(F.col("s").isNotNull())
     size = F.ceil(F.col("total") * F.lit(float(share)))
     cut = order_statistics(rows, "s", {"cut": F.col("total") - size}).select("cut").scalar()

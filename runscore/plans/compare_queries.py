@@ -107,8 +107,9 @@ def compare_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j5_compare_latest",
     f"""WITH {PAIR_BASE}, newest AS (
-      SELECT * FROM run_values r WHERE file_name = (
-        SELECT MAX(file_name) FROM run_values x WHERE x.mode = r.mode))
+      SELECT * FROM run_values r WHERE file_name = COALESCE((
+        SELECT file_name FROM run_values x WHERE x.mode = r.mode AND file_name LIKE 'benchmark!_%' ESCAPE '!'
+        ORDER BY file_name DESC LIMIT 1), file_name))
     {_comparison('newest')}""",
 )
 def compare_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -386,7 +386,7 @@ def iqr_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clipped, 4, "o_totalprice_clipped")
 
 
-_SPREAD = "(({key} % 2147483648) * 2654435761) % 4294967296"
+_SPREAD = "CAST('0x' || SUBSTR(MD5(CAST({key} AS VARCHAR)), 1, 13) AS BIGINT)"
 
 
 @query(

@@ -148,7 +148,7 @@ def suite(by: str, source: str = "run_values") -> str:
 
 LATEST_CTE = """latest AS (
   SELECT * FROM run_values
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY mode, task_id ORDER BY file_name DESC, event_id DESC) = 1),
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY mode, task_id ORDER BY file_name DESC, position) = 1),
 paired AS (SELECT * FROM latest WHERE task_id IN (
   SELECT task_id FROM latest GROUP BY task_id HAVING COUNT(DISTINCT mode) = 2))"""
 

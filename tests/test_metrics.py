@@ -91,7 +91,7 @@ def test_latest_file_wins(spark):
         record(run_id="r1", metadata={"task_id": "a"}),
         record(run_id="r2", metadata={"task_id": "a"}),
         record(run_id="r3", metadata={"task_id": "b"}),
-    ).withColumn("file_name", F.concat(F.lit("benchmark_"), "run_id"))
+    ).withColumns({"file_name": F.concat(F.lit("benchmark_"), "run_id"), "position": F.lit(0)})
     kept = {r["task_id"]: r["run_id"] for r in C.latest_per_task(runs).collect()}
     assert kept == {"a": "r2", "b": "r3"}
     assert C.latest_per_task(runs, task_id="none").count() == 0
@@ -163,3 +163,21 @@ def test_published_rankings(spark):
     cases = {r["category"]: r["task_id"] for r in R.case_studies(pairs).collect()}
     assert cases["highest_ors_improvement"] == "task_036"
     assert cases["largest_degradation"] == "task_030"
+
+
+def test_first_run_of_a_file_and_newest_suite_file(spark):
+    done, failed = {"status": "success"}, {"status": "failure"}
+    runs = frame(
+        spark,
+        record(run_id="r0", metadata={"task_id": "a"}, execution=done),
+        record(run_id="r3", metadata={"task_id": "a"}, execution=failed),
+        record(run_id="r1", metadata={"task_id": "a"}, execution=failed),
+    )
+    place = {"r0": ("benchmark_1.json", 0), "r3": ("benchmark_1.json", 1), "r1": ("run_z.json", 0)}
+    for column, at in (("file_name", 0), ("position", 1)):
+        choice = F.create_map(*[F.lit(x) for k, v in place.items() for x in (k, v[at])])
+        runs = runs.withColumn(column, choice[F.col("run_id")])
+    suite_only = runs.where("file_name = 'benchmark_1.json'")
+    assert [r["run_id"] for r in C.latest_per_task(suite_only).collect()] == ["r0"]
+    esr = C.compare_latest(runs).where("metric = 'ESR'").first()
+    assert esr["baseline"] == 0.5

@@ -189,3 +189,12 @@ def test_ranks_do_not_gather_a_group_in_one_task(spark):
     for line in plan.split("\n"):
         if "Window [" in line and "metric" in line:
             assert "bucket" in line
+
+
+def test_split_of_wide_keys_and_infinite_values(spark):
+    rows = [("x", k) for i in range(5) for k in (i, 2**31 + i)]
+    split = stratified_split(spark.createDataFrame(rows, "c string, k long"), "c", "k", 0.5)
+    assert split.where("is_train").count() == 5
+    table = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "v double")
+    found = exact_percentiles(table, "v", {"m": 0.5, "top": 1.0}).first()
+    assert (found["m"], found["top"]) == (2.0, float("inf"))
