@@ -246,6 +246,41 @@ def test_fuzzy_lines(spark):
     assert texts[2] == "" and texts[6] == "x" and texts[3] is None and texts[1].endswith("\nshort line\n\n")
 
 
+def test_fuzzy_lines_equal_brute_force(spark):
+    random.seed(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    lines = []
+    for length in (3, 4, 5, 5, 6, 8, 9, 10, 14, 15, 20, 35, 60, 160):
+        for _ in range(3):
+            base = random.choices(vocabulary, k=length)
+            lines.append(base)
+            for _ in range(5):
+                changed = list(base)
+                for _ in range(random.randint(1, max(1, length // 4))):
+                    at = random.randrange(len(changed))
+                    changed[at : at + random.randint(0, 1)] = random.choices(vocabulary, k=random.randint(0, 1))
+                lines.append(changed or base)
+    random.shuffle(lines)
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            left, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (a != b))
+        return row[-1]
+
+    label = list(range(len(lines)))
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        x, y, longer = lines[a], lines[b], max(len(lines[a]), len(lines[b]))
+        if label[a] != label[b] and 5 * abs(len(x) - len(y)) <= longer and 5 * edits(x, y) <= longer:
+            least, most = sorted((label[a], label[b]))
+            label = [least if v == most else v for v in label]
+    frame = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["keeper_doc_id"] for r in line_groups(frame.repartition(5)).collect()}
+    assert got == dict(enumerate(label))
+
+
 @pytest.mark.parametrize("name", ["op1_quality", "op7_toxic_passages"])
 def test_held_out_accuracy(spark, name):
     path = "/root/testdata/sf0.1"
