@@ -10,7 +10,7 @@ from runscore.plans.fixtures import run_records
 from runscore.plans.oracle import METRIC_BASE, rnd, suite
 from runscore.plans.registry import query
 from runscore.plans.scoring_queries import WITH as SCORING_WITH
-from runscore.plans.source_queries import LEVEL_SQL, UPSERT_SQL, versions, write_logs
+from runscore.plans.source_queries import LEVEL_SQL, UPSERT_SQL, log_table, versions, write_logs
 from runscore.runtime import scratch_path
 from runscore.sources.history import load_version, save_version
 from runscore.sources.tables import stream_log_lines
@@ -31,6 +31,31 @@ def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def in_time_order(spark: SparkSession, table: DataFrame, time: str, name: str, kind: str, files: int = 4) -> str:
+    """Write a table as files of ascending, disjoint times whose modification times are in that order too (action)."""
+    path = scratch_path(spark, name)
+    table.repartitionByRange(files, time).write.format(kind).save(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = {s.getPath().getName(): s for s in store.listStatus(folder) if s.getPath().getName().startswith("part-")}
+    newest = max(s.getModificationTime() for s in parts.values())
+    for number, part in enumerate(sorted(parts)):
+        store.setTimes(parts[part].getPath(), newest + 1000 * (number - len(parts)), -1)
+    return path
+
+
+def all_windows(spark: SparkSession, windows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run windows to the end of their stream and return all of them, open ones included."""
+    path = scratch_path(spark, name)
+    T.stream_windows(windows, keys, path, scratch_path(spark, f"{name}-state")).awaitTermination()
+    last = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    return (
+        load_version(spark, path, last)
+        .withColumn("window_start", F.col("window_start").cast("string"))
+        .drop("window_end")
+    )
+
+
 @query(
     "t1_stream_scored_runs",
     f"""{SCORING_WITH} SELECT mode, COUNT(*) AS runs, {rnd('AVG(task_score)', 6)} AS task_score,
@@ -92,3 +117,35 @@ def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = stream_log_lines(spark, write_logs(spark, sf_dir))
     done = finished(spark, T.stream_error_rate(stream), "error-rate")
     return done.withColumn("window_start", F.col("window_start").cast("string")).drop("window_end")
+
+
+@query(
+    "t2_stream_scoreboard_whole",
+    f"""WITH {METRIC_BASE}, hourly AS (
+      SELECT *, date_trunc('hour', ts) AS w FROM run_values)
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, * EXCLUDE (w)
+    FROM ({suite('w, mode', 'hourly')})""",
+)
+def whole_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of the table, over several batches in time order."""
+    runs = run_records(spark, sf_dir)
+    path = in_time_order(spark, runs, "created_at", "runs", "parquet")
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return all_windows(spark, T.stream_scoreboard(stream), ["window_start", "mode"], "scoreboard")
+
+
+@query(
+    "t4_stream_error_rate_whole",
+    f"""WITH l AS (SELECT ts, {LEVEL_SQL} AS level FROM events),
+    w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - i * INTERVAL 30 MINUTE AS s, level
+      FROM l, (SELECT UNNEST([0, 1]) AS i))
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS lines,
+      COUNT(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) AS errors,
+      {rnd("COUNT(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) / COUNT(*)::DOUBLE", 6)} AS error_rate
+    FROM w GROUP BY s""",
+)
+def whole_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of the table, over several batches in time order."""
+    path = in_time_order(spark, log_table(spark, sf_dir), "timestamp", "logs", "json")
+    stream = stream_log_lines(spark, path, files_per_batch=1)
+    return all_windows(spark, T.stream_error_rate(stream), ["window_start"], "error-rate")

@@ -60,8 +60,11 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_DDL).json(path)
 
 
-def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(LOG_DDL).json(path)
+def stream_log_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(LOG_DDL)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
 
 
 def write_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -6,6 +6,9 @@ the sinks are specific to streams.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -74,6 +77,36 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     )
 
 
+def stream_windows(windows: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Keep every window seen so far in versioned tables, open ones included.
+
+    Update mode: a batch brings the present state of the windows it touched,
+    which replaces their rows. Batch n writes version n + 1 from version n, so a
+    batch that is repeated after a failure gives the same result. Windows need
+    not close to be written; the watermark only bounds the state, and rows later
+    than it are dropped as in any stream.
+    """
+
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        table = batch
+        if batch_id:
+            old = load_version(batch.sparkSession, path, batch_id).alias("o")
+            touched = batch.select(*keys).alias("n")
+            same = reduce(and_, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+            table = old.join(touched, same, "left_anti").unionByName(batch)
+        save_version(table, path, batch_id + 1)
+        batch.unpersist()
+
+    return (
+        windows.writeStream.outputMode("update")
+        .foreachBatch(apply_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_upsert(runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Insert-or-replace arriving runs into a versioned history.
 
