@@ -38,6 +38,7 @@ from runscore.operators.profile import infer_task_type, numeric_columns
 
 SEED = 42
 LABEL, PREDICTION, FEATURES = "label", "prediction", "features"
+FOREST = {"numTrees": 100, "maxDepth": 10}  # trees as in the reference, whose depth has no limit
 CLASSIFIERS = {
     "logistic": LogisticRegression,
     "random_forest": RandomForestClassifier,
@@ -273,7 +274,7 @@ def baseline_model(
         rows = rows.withColumn(target, F.col("__index")).drop("__target", "__index")
     spec = ModelSpec(
         target, key, numeric, categorical, "random_forest", task,
-        params={"numTrees": 100, "maxDepth": 10, **params},
+        params={**FOREST, **params},
     )
     return train_eval(rows, spec).withColumn("task_type", F.lit(task))
 

@@ -13,7 +13,6 @@ from runscore.plans.registry import query
 from runscore.runtime import spread_small
 
 GROUPS = {"price": ["l_quantity", "l_extendedprice"], "terms": ["l_discount", "l_tax", "l_linestatus"]}
-FOREST = {"numTrees": 20, "maxDepth": 6}
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spec(**changes) -> M.ModelSpec:
     base = M.ModelSpec(
-        "returned", "l_orderkey", tuple(FEATURES), ("l_linestatus",), "random_forest", params=FOREST
+        "returned", "l_orderkey", tuple(FEATURES), ("l_linestatus",), "random_forest", params=M.FOREST
     )
     return replace(base, **changes)
 
@@ -46,21 +45,17 @@ def price_spec(**changes) -> M.ModelSpec:
 @query("p8_baseline_model")
 def baseline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir).drop("returned")
-    return M.baseline_model(rows, "l_returnflag", "l_orderkey", **FOREST)
+    return M.baseline_model(rows, "l_returnflag", "l_orderkey")
 
 
 @query("w11_logistic_balanced")
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.train_eval(
-        labelled(spark, sf_dir), spec(model="logistic", balanced=True, params={"maxIter": 20})
-    )
+    return M.train_eval(labelled(spark, sf_dir), spec(model="logistic", balanced=True, params={}))
 
 
 @query("w11_gradient_boosting")
 def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.train_eval(
-        labelled(spark, sf_dir), spec(model="gradient_boosting", params={"maxIter": 5})
-    )
+    return M.train_eval(labelled(spark, sf_dir), spec(model="gradient_boosting", params={}))
 
 
 @query("w11_linear")
@@ -78,9 +73,9 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.compare_models(
         labelled(spark, sf_dir),
         {
-            "logistic": spec(model="logistic", params={"maxIter": 20}),
+            "logistic": spec(model="logistic", params={}),
             "random_forest": spec(),
-            "gradient_boosting": spec(model="gradient_boosting", params={"maxIter": 5}),
+            "gradient_boosting": spec(model="gradient_boosting", params={}),
         },
         "f1_macro",
     )
@@ -102,7 +97,7 @@ def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     wanted = spec(
         target="dear", key="line_id", numeric=("l_quantity", "l_discount"), categorical=(),
-        model="logistic", params={"maxIter": 20},
+        model="logistic", params={},
     )
     split = M.prepare(lines, wanted)
     model = M.fit(split, wanted)

@@ -40,3 +40,30 @@ def test_counterfactual_prefers_fewer_changes(spark, sf):
     rows = Q.counterfactuals(spark, sf)
     worst = rows.agg(F.max("changes"), F.min("changes")).first()
     assert worst[1] == 1 and worst[0] <= 2
+
+
+def test_queries_train_whole_models(spark, sf, monkeypatch):
+    import pytest
+
+    made, build = [], M.estimator
+
+    class Stop(Exception):
+        pass
+
+    def seen(spec):
+        made.append((spec.model, build(spec)))
+        raise Stop
+
+    monkeypatch.setattr(M, "estimator", seen)
+    jobs = (Q.baseline_model, Q.logistic, Q.boosting, Q.forest_regression, Q.feature_importance, Q.counterfactuals)
+    for job in jobs:
+        with pytest.raises(Stop):
+            job(spark, sf)
+    monkeypatch.setattr(M, "compare_models", lambda rows, specs, metric: made.extend((s.model, build(s)) for s in specs.values()))
+    Q.compare_models(spark, sf)
+    assert len(made) == len(jobs) + 3
+    for model, stage in made:
+        if model == "random_forest":
+            assert (stage.getNumTrees(), stage.getMaxDepth()) == (100, 10)
+        else:
+            assert stage.getMaxIter() == {"logistic": 100, "gradient_boosting": 20}[model]
