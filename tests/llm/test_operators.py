@@ -108,6 +108,17 @@ def test_leakage_finds_what_the_edit_budget_allows():
         assert not found or min(m[3] for m in found) == least
 
 
+def test_leakage_finds_every_quote_of_the_stated_length():
+    random.seed(2)
+    item = "".join(random.choice("abcdefghij") for _ in range(400))
+    index = leakage.Index([(1, item)])
+    length = leakage.WINDOW + leakage.STRIDE - 1
+    assert length == 103
+    for begin in range(0, len(item) - length + 1, 3):
+        text = "zyx" * 20 + item[begin : begin + length] + "wvu" * 20
+        assert index.matches(leakage.code_points(text)), begin
+
+
 def test_leakage_query_keeps_clean_rows(spark, docs):
     passage = "the quick brown fox jumps over the lazy dog while seven wizards mix a potion of odd colours near the quiet lake"
     bench = spark.createDataFrame([(7, passage), (8, None), (9, "")], "item_id long, text string")
