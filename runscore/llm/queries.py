@@ -8,17 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import check_sql
 from .chat import chat_digests, format_chats
 from .fuzzy_lines import line_groups
 from .leakage import find_leaks
 from .metric_tree import top_inner_products
 from .mixture import mix_plan
 from .near_copies import near_copies
+from .prefix_trie import prefix_trie, reopened, turn_digests
 from .quality import classify_quality
 from .shards import shard_documents
+from .slice_masks import compress_vectors
 from .store import Scratch, read_table
 from .token_files import token_digests, write_token_files
 from .toxic_passages import fit_passages, score_toxicity
+from .url_rules import judge_urls
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,6 +114,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"))
 
 
+@job("op11_prefix_trie", check_sql.PREFIX_TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return prefix_trie(reopened(turn_digests(conversations)), conversations.select("conv_id"))
+
+
+@job("op12_vector_codes", check_sql.VECTOR_CODES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@job("op13_url_rules", check_sql.URL_RULES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
 @job("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
