@@ -41,16 +41,23 @@ def latest_per_task(
 ) -> DataFrame:
     """Run per (mode, task) of the newest file; within a file the first one.
 
+    ``file_name`` is required. ``position`` is the place of a run in its file;
+    without that column the smallest run_id counts as the first.
+
     The ``row_number() = 1`` filter becomes a group limit ahead of the shuffle,
     so each input partition ships at most one row per key, however many runs a
     single task has. ``first_result_only`` sees only the first run of a file.
     """
+    placed = "position" in runs.columns
+    if first_result_only and not placed:
+        raise ValueError("first_result_only needs a position column")
     keyed = with_task_id(runs).where(F.coalesce(F.col("task_id"), F.lit("")) != "")
     if task_id is not None:
         keyed = keyed.where(F.col("task_id") == task_id)
     if first_result_only:
         keyed = keyed.where(F.col("position") == 0)
-    newest = Window.partitionBy("mode", "task_id").orderBy(F.col("file_name").desc(), "position", "run_id")
+    order = [F.col("file_name").desc(), *(["position"] if placed else []), "run_id"]
+    newest = Window.partitionBy("mode", "task_id").orderBy(*order)
     return (
         keyed.withColumn("newest_rank", F.row_number().over(newest))
         .where(F.col("newest_rank") == 1)

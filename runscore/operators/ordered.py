@@ -1,10 +1,12 @@
 """Order statistics and running totals without a single-task sort.
 
 A plain window or exact ``percentile`` puts all rows of a group into one task.
-Here values are cut into buckets by a monotone function of the value. Bucket
-counts are a small aggregate; they say which bucket holds a wanted position,
-and only rows of that bucket are looked at again. A group that holds a third of
-all rows is therefore counted map-side and spread over many buckets.
+Here rows are counted per distinct value first, so a hot value is one row. A
+quantile sketch of the distinct values of each group (mergeable, built map-side)
+gives splitters that cut the group into ranges of nearly equal size, whatever
+the values look like. Range counts say which range holds a wanted position;
+only its values are looked at again and sorted, range by range.
+Splitters only balance the work: counts are exact, so results are too.
 """
 
 from __future__ import annotations
@@ -14,135 +16,150 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 4096
-BROADCAST_ROWS = 10_000
-_OCTAVES = 1100  # every finite double lies within 2**-1100 .. 2**1100
-
-
-def value_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
-    """Bucket number that never decreases as the value grows."""
-    octave = F.least(F.log2(F.abs(value)), F.lit(1024.0))  # infinity shares the last bucket
-    magnitude = F.floor(octave * per_octave) + _OCTAVES * per_octave
-    return (
-        F.when(value == 0, F.lit(0).cast("long"))
-        .when(value > 0, magnitude)
-        .otherwise(-magnitude)
-    )
-
-
-def small_or_whole(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast if it has at most ``limit`` rows (action).
-
-    The planner cannot know that an aggregate will be small and would shuffle
-    the large side of a join with it. So the rows are counted for real: up to
-    ``limit`` rows are fetched and become the broadcast side. A larger table is
-    returned as it is and joined by shuffle.
-    """
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return table
-    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+RANGE_VALUES = 4096  # a group with fewer distinct values is not cut
+MOST_RANGES = 256  # ranges of one cut; the largest holds about 0.7 % of the values
+SKETCH_SIZE = 2048  # ranks are off by about 0.24 % of the values at most
 
 
 def attach(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    *,
-    check_size: bool = True,
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", *, few: bool = False
 ) -> DataFrame:
     """Join a table with one row per key to rows, matching null keys too.
 
-    With ``check_size`` a table found to be small is broadcast, so ``rows`` are
-    not shuffled (action). Without it, or for a larger table, Spark chooses the
-    join and splits hot keys of ``rows`` at run time (adaptive skew join).
+    Spark chooses the join, broadcasts a table that turns out small and splits
+    hot keys of ``rows`` at run time (adaptive execution). ``few`` says that the
+    number of keys has a bound that does not grow with the data, such as the
+    columns of a table or the k largest groups; the table is then broadcast.
     """
     if not keys:
         raise ValueError("attach needs at least one key")
-    if check_size:
-        table = small_or_whole(table)
     renamed = table.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         *[F.col(c) for c in table.columns if c not in keys],
     )
+    if few:
+        renamed = F.broadcast(renamed)
     match = reduce(
         lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
     )
     return rows.join(renamed, match, how).drop(*[f"__{k}" for k in keys])
 
 
+def _splitters(value: str) -> Column:
+    """Aggregate: ascending values that cut the aggregated ones into equal parts, a power of two of them."""
+    ranks = ",".join(str(i / MOST_RANGES) for i in range(1, MOST_RANGES))
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_SIZE))
+    marks = F.kll_sketch_get_quantile_double(sketch, F.split(F.lit(ranks), ",").cast("array<double>"))
+    halvings = F.ceil(F.log2(F.count(F.lit(1)) / RANGE_VALUES)).cast("int")
+    parts = F.least(F.lit(MOST_RANGES), F.pow(F.lit(2.0), F.greatest(halvings, F.lit(0))).cast("int"))
+    apart = (F.lit(MOST_RANGES) / parts).cast("int")
+    chosen = F.transform(F.sequence(apart, F.lit(MOST_RANGES) - apart, apart), lambda i: F.get(marks, i - 1))
+    return F.when(parts > 1, chosen).otherwise(F.array().cast("array<double>"))
+
+
+def _range_of(value: Column, splitters: Column) -> Column:
+    """Number of splitters below the value, by binary search."""
+    steps = [1 << i for i in reversed(range(MOST_RANGES.bit_length()))]
+
+    def forward(at: Column, step: Column) -> Column:
+        below = F.coalesce(F.get(splitters, at + step - 1) < value, F.lit(False))
+        return F.when(below, at + step).otherwise(at)
+
+    return F.aggregate(F.lit(steps), F.lit(0), forward)
+
+
+def _inside(position: Column, start: Column, n: Column) -> Column:
+    return (position >= start) & (position < start + n)
+
+
+def one_group(df: DataFrame, by: list[str], few: bool) -> tuple[DataFrame, list[str], bool]:
+    """The whole table as one group where no group columns are given."""
+    return (df, list(by), few) if by else (df.withColumn("__all", F.lit(0)), ["__all"], True)
+
+
 def order_statistics(
-    df: DataFrame, value: str, positions: dict[str, Column], by: list[str] = ()
+    df: DataFrame,
+    value: str,
+    positions: dict[str, Column],
+    by: list[str] = (),
+    *,
+    few: bool = False,
 ) -> DataFrame:
     """Values at given positions of the ascending order, per group.
 
     ``positions`` maps an output name to a zero-based position, written as an
-    expression over the column ``total`` (non-null count of the group). Nulls
-    and NaN are left out. Output: the group columns, ``total`` and one column
-    per name (null if the position is outside the group).
+    expression over ``total`` (non-null count of the group) and the group
+    columns. Nulls and NaN are left out. Output: the group columns, ``total``
+    and one column per name, of the type of the value (null if the position is
+    outside the group). ``few``: the number of groups does not grow with the
+    data.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v")
+    df, by, few = one_group(df, by, few)
+    rows = df.select(*by, F.col(value).alias("v")).where(F.col("v").isNotNull())
+    if dict(rows.dtypes)["v"] in ("double", "float"):
+        rows = rows.where(~F.isnan("v"))
+    counted = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    as_double = F.col("v").cast("double")
+
+    cuts = counted.groupBy(*by).agg(_splitters("v").alias("cuts"), F.sum("n").alias("total"))
+    cut = attach(counted, cuts, by, few=few)
+    counts = cut.groupBy(*by, _range_of(as_double, F.col("cuts")).alias("range")).agg(
+        F.sum("n").alias("n"), F.max("total").alias("total"), F.max("cuts").alias("cuts")
     )
-    rows = rows.withColumn("bucket", value_bucket(F.col("v")))
-
-    in_order = Window.partitionBy(*by).orderBy("bucket")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    spans = counts.withColumns(
-        {
-            "start": F.coalesce(F.sum("n").over(before), F.lit(0)),
-            "total": F.sum("n").over(Window.partitionBy(*by)),
-        }
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    hit = [_inside(p, F.col("start"), F.col("n")) for p in positions.values()]
+    span = F.struct(
+        F.get("cuts", F.col("range") - 1).alias("low"), F.get("cuts", "range").alias("high"), "start"
+    )
+    # one span per position at most
+    wanted = (
+        spans.where(reduce(lambda a, b: a | b, hit))
+        .groupBy(*by)
+        .agg(F.max("total").alias("total"), F.collect_list(span).alias("spans"))
     )
 
-    def inside(position: Column, start: Column, n: Column) -> Column:
-        return (position >= start) & (position < start + n)
+    def holds(s: Column) -> Column:
+        above = F.coalesce(s["low"] < as_double, F.lit(True))
+        return above & F.coalesce(as_double <= s["high"], F.lit(True))
 
-    wanted = spans.where(
-        reduce(
-            lambda a, b: a | b,
-            [inside(p, F.col("start"), F.col("n")) for p in positions.values()],
-        )
-    ).drop("n")
-
-    candidates = (
-        attach(rows, wanted, [*by, "bucket"])
-        .groupBy(*by, "bucket", "start", "total", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    within = (
-        Window.partitionBy(*by, "bucket")
-        .orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = candidates.withColumn(
-        "start", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    near = (
+        attach(counted, wanted, by, few=few)
+        .withColumn("start", F.get(F.filter("spans", holds), F.lit(0))["start"])
+        .where(F.col("start").isNotNull())
+        .drop("spans")
     )
-    return placed.groupBy(*by).agg(
+    within = Window.partitionBy(*by, "start").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.withColumn("at", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    found = placed.groupBy(*by).agg(
         F.max("total").alias("total"),
         *[
-            F.max(F.when(inside(p, F.col("start"), F.col("n")), F.col("v"))).alias(name)
+            F.max(F.when(_inside(p, F.col("at"), F.col("n")), F.col("v"))).alias(name)
             for name, p in positions.items()
         ],
     )
+    return found.drop("__all")
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, fractions: dict[str, float], by: list[str] = ()
+    df: DataFrame,
+    value: str,
+    fractions: dict[str, float],
+    by: list[str] = (),
+    *,
+    few: bool = False,
 ) -> DataFrame:
     """Linearly interpolated exact percentiles, per group.
 
     Output: the group columns, ``total`` and one column per name.
     """
+    df = df.withColumn(value, F.col(value).cast("double"))
     positions: dict[str, Column] = {}
     for name, fraction in fractions.items():
         at = (F.col("total") - 1) * F.lit(float(fraction))
         positions[f"{name}__lo"] = F.floor(at)
         positions[f"{name}__hi"] = F.ceil(at)
-    found = order_statistics(df, value, positions, by)
+    found = order_statistics(df, value, positions, by, few=few)
 
     def interpolate(name: str, fraction: float) -> Column:
         at = (F.col("total") - 1) * F.lit(float(fraction))
@@ -153,8 +170,10 @@ def exact_percentiles(
     return found.select(*by, "total", *[interpolate(n, f) for n, f in fractions.items()])
 
 
-def medians(df: DataFrame, value: str, by: list[str] = (), name: str = "median") -> DataFrame:
-    return exact_percentiles(df, value, {name: 0.5}, by).drop("total")
+def medians(
+    df: DataFrame, value: str, by: list[str] = (), name: str = "median", *, few: bool = False
+) -> DataFrame:
+    return exact_percentiles(df, value, {name: 0.5}, by, few=few).drop("total")
 
 
 def running_totals(
@@ -162,51 +181,44 @@ def running_totals(
 ) -> DataFrame:
     """For each distinct value the totals over all smaller values of its group.
 
-    The join with the bucket offsets and the window use the same keys, so they
-    share one shuffle of the distinct values.
-
     ``counted`` has one row per (group, value) with the columns in ``sums``.
-    Adds ``<name>_before`` for each of them.
+    Adds ``<name>_before`` for each of them. Each group is cut into ranges, so
+    the window over values never holds more than one range; the offsets of the
+    ranges come from a window over at most MOST_RANGES rows of a group.
     """
-    by = list(by)
-    rows = counted.withColumn("bucket", value_bucket(F.col(value).cast("double")))
-    ahead = (
-        Window.partitionBy(*by)
-        .orderBy("bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    counted, by, few = one_group(counted, by, False)
+    cuts = counted.groupBy(*by).agg(_splitters(value).alias("__cuts"))
+    rows = (
+        attach(counted, cuts, by, few=few)
+        .withColumn("__range", _range_of(F.col(value).cast("double"), F.col("__cuts")))
+        .drop("__cuts")
     )
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*by, "bucket")
+        rows.groupBy(*by, "__range")
         .agg(*[F.sum(s).alias(s) for s in sums])
         .select(
             *by,
-            "bucket",
-            *[
-                F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"{s}_offset")
-                for s in sums
-            ],
+            "__range",
+            *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"{s}_offset") for s in sums],
         )
     )
     within = (
-        Window.partitionBy(*by, "bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = attach(rows, offsets, [*by, "bucket"], check_size=False)
+    joined = attach(rows, offsets, [*by, "__range"])
     return joined.withColumns(
         {
             f"{s}_before": F.col(f"{s}_offset") + F.coalesce(F.sum(s).over(within), F.lit(0))
             for s in sums
         }
-    ).drop("bucket", *[f"{s}_offset" for s in sums])
+    ).drop("__range", "__all", *[f"{s}_offset" for s in sums])
 
 
 def spread_key(column: Column) -> Column:
-    """Deterministic, evenly spread order value of a key of any type.
+    """Deterministic, evenly spread 64-bit order value of a key of any type.
 
-    The first 52 bits of a digest of the whole key, exact as a double. Equal
-    keys always get the same value, so copies of a row stay on the same side of
-    a cut.
+    Equal keys always get the same value, so copies of a row stay on the same
+    side of a cut.
     """
-    digest = F.substring(F.md5(column.cast("string").cast("binary")), 1, 13)
-    return F.conv(digest, 16, 10).cast("double")
+    return F.xxhash64(column)

@@ -61,8 +61,10 @@ def impute(
     by: list[str] = (),
     value: object = None,
 ) -> DataFrame:
-    """Fill nulls by group median, group mean, group mode or a constant."""
+    """Fill nulls and NaN by group median, group mean, group mode or a constant."""
     by = list(by)
+    if dict(df.dtypes)[column] in ("double", "float"):
+        df = df.withColumn(column, F.when(~F.isnan(column), F.col(column)))
     if strategy == "constant":
         return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
     if strategy == "median":

@@ -54,14 +54,20 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value of every cell; NaN is a missing value."""
+    tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], columns, "column", "value"
+    )
+    return tall.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
 def describe_numeric(
     df: DataFrame, columns: list[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """count, mean, sample sd, min, quartiles and max per numeric column."""
+    """count, mean, sample sd, min, quartiles and max per numeric column; NaN is missing."""
     columns = columns or numeric_columns(df)
-    tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value"
-    )
+    tall = _values(df, columns)
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     basics = [
         F.count("value").alias("count"),
@@ -77,8 +83,8 @@ def describe_numeric(
         ]
         return tall.groupBy("column").agg(*basics, *marks)
     moments = tall.groupBy("column").agg(*basics)
-    marks = exact_percentiles(tall, "value", quartiles, ["column"]).drop("total")
-    return attach(moments, marks, ["column"], "left", check_size=False)
+    marks = exact_percentiles(tall, "value", quartiles, ["column"], few=True).drop("total")
+    return attach(moments, marks, ["column"], "left", few=True)
 
 
 def sample_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -249,16 +255,12 @@ def distinct_counts(
 def outlier_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Share of non-null values outside 1.5 quartile ranges, per numeric column."""
     columns = columns or numeric_columns(df)
-    tall = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], columns, "column", "value")
-        .where(F.col("value").isNotNull())
-    )
-    marks = exact_percentiles(tall, "value", {"q1": 0.25, "q3": 0.75}, ["column"])
+    tall = _values(df, columns).where(F.col("value").isNotNull())
+    marks = exact_percentiles(tall, "value", {"q1": 0.25, "q3": 0.75}, ["column"], few=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     outside = ~F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        attach(tall, marks.drop("total"), ["column"])
+        attach(tall, marks.drop("total"), ["column"], few=True)
         .groupBy("column")
         .agg(F.avg(outside.cast("double")).alias("outlier_rate"))
     )

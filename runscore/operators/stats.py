@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from runscore.functions.distributions import normal_two_sided, t_critical, t_pvalue
 from runscore.operators.ordered import attach, running_totals
 
-DIFFERENCE_DIGITS = 9
 NAN = float("nan")
+EXACT_PAIRS = 50  # up to so many differences the exact distribution is the default
 
 
-def paired(pairs: DataFrame, by: list[str], digits: int | None = DIFFERENCE_DIGITS) -> DataFrame:
+def paired(pairs: DataFrame, by: list[str], digits: int | None = None) -> DataFrame:
     """Complete pairs with their difference ``d``.
 
-    Rounding to nine digits removes float noise that would break ties; pass
-    ``digits=None`` for the plain difference of the stored values.
+    ``digits`` rounds the differences, which removes float noise that would
+    break ties; without it they are taken as stored.
     """
     difference = F.col("feedback") - F.col("baseline")
     if digits is not None:
@@ -43,10 +43,20 @@ def difference_moments(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def t_statistic() -> Column:
-    """t of the mean difference; NaN when all differences are equal."""
+    """t of the mean difference.
+
+    Infinite when all differences are equal and not zero; NaN when they are all
+    zero or there is only one.
+    """
     scale = F.col("sd_sample") / F.sqrt(F.col("n"))
-    flat = F.coalesce(F.col("sd_sample") == 0, F.lit(True))
-    return F.when(flat, F.lit(NAN)).otherwise(F.try_divide(F.col("mean_diff"), scale))
+    endless = F.when(F.col("mean_diff") > 0, F.lit(float("inf"))).when(
+        F.col("mean_diff") < 0, F.lit(float("-inf"))
+    )
+    return (
+        F.when(F.col("sd_sample").isNull() | (F.col("n") < 2), F.lit(NAN))
+        .when(F.col("sd_sample") == 0, F.coalesce(endless, F.lit(NAN)))
+        .otherwise(F.try_divide(F.col("mean_diff"), scale))
+    )
 
 
 def paired_ttest(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -87,9 +97,9 @@ def cohen_d(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def signed_rank_sums(
-    pairs: DataFrame, by: list[str], digits: int | None = DIFFERENCE_DIGITS
+    pairs: DataFrame, by: list[str], digits: int | None = None
 ) -> DataFrame:
-    """W+, W-, number of non-zero differences and tie term per group.
+    """W+, W-, number of non-zero differences, largest tie and tie term per group.
 
     Differences are counted per distinct magnitude first, so a group ships one
     row per distinct value and the ranks come from running counts.
@@ -102,6 +112,7 @@ def signed_rank_sums(
     n, up = F.col("n").cast("double"), F.col("up").cast("double")
     mean_rank = F.col("n_before") + (n + 1.0) / 2.0
     return ranked.groupBy(*by).agg(
+        F.max("n").alias("most_tied"),
         F.sum(up * mean_rank).alias("w_plus"),
         F.sum((n - up) * mean_rank).alias("w_minus"),
         F.sum("n").alias("nonzero"),
@@ -109,13 +120,38 @@ def signed_rank_sums(
     )
 
 
+def exact_signed_rank_p(w: Column, m: Column) -> Column:
+    """Two-sided p of the smaller rank sum ``w`` of ``m`` untied differences.
+
+    Under the null hypothesis every rank joins the sum with probability one
+    half. Rank after rank the array of probabilities of the sums 0 .. w is
+    mixed with itself shifted by the rank; sums above w need not be kept.
+    """
+    top = F.floor(w).cast("int")
+    start = F.transform(F.sequence(F.lit(0), top), lambda s: F.when(s == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    def with_rank(sums: Column, rank: Column) -> Column:
+        return F.transform(sums, lambda p, s: (p + F.coalesce(F.get(sums, s - rank), F.lit(0.0))) / 2.0)
+
+    sums = F.aggregate(F.sequence(F.lit(1), m.cast("int")), start, with_rank)
+    tail = F.aggregate(sums, F.lit(0.0), lambda total, p: total + p)
+    return F.least(F.lit(1.0), 2.0 * tail)
+
+
 def wilcoxon(
-    pairs: DataFrame, by: list[str], digits: int | None = DIFFERENCE_DIGITS
+    pairs: DataFrame, by: list[str], digits: int | None = None, method: str = "auto"
 ) -> DataFrame:
     """Signed-rank statistic W, normal score and two-sided p per group.
 
-    Groups whose differences are all zero keep W = 0 with NaN for z and p.
+    ``method``: "approx" takes p from the normal score; "exact" from the
+    distribution of the rank sum in groups without ties and zero differences
+    (others keep the normal one, as the distribution does not hold for them);
+    "auto" does the same in groups of up to EXACT_PAIRS pairs. Exact p takes
+    time with the cube of the group's size. Groups whose differences are all
+    zero keep W = 0 with NaN for z and p.
     """
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method: {method}")
     groups = (
         pairs.where(F.col("baseline").isNotNull() & F.col("feedback").isNotNull())
         .groupBy(*by)
@@ -126,8 +162,8 @@ def wilcoxon(
     w = F.least("w_plus", "w_minus")
     variance = m * (m + 1) * (2 * m + 1) / 24.0 - F.col("tie_term") / 48.0
     score = F.try_divide(w - m * (m + 1) / 4.0, F.sqrt(variance))
-    return (
-        attach(groups, sums, by, "left", check_size=False)
+    scored = (
+        attach(groups, sums, by, "left")
         .withColumns(
             {
                 "w": F.coalesce(w, F.lit(0.0)),
@@ -135,8 +171,14 @@ def wilcoxon(
             }
         )
         .withColumn("w_p", normal_two_sided(F.col("z")))
-        .select(*by, "n", "w", "z", "w_p")
     )
+    if method != "approx":
+        plain = (F.col("nonzero") == F.col("n")) & (F.col("most_tied") == 1)
+        if method == "auto":
+            plain = plain & (F.col("n") <= EXACT_PAIRS)
+        exact = exact_signed_rank_p(F.col("w"), F.col("nonzero"))
+        scored = scored.withColumn("w_p", F.when(plain, exact).otherwise(F.col("w_p")))
+    return scored.select(*by, "n", "w", "z", "w_p")
 
 
 def paired_stats(
@@ -144,7 +186,8 @@ def paired_stats(
     by: list[str] = ("metric",),
     *,
     confidence: float = 0.95,
-    digits: int | None = DIFFERENCE_DIGITS,
+    digits: int | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """t test, signed-rank test, interval and effect size in one table."""
     by = list(by)
@@ -154,8 +197,8 @@ def paired_stats(
         .withColumn("t_p", t_pvalue(F.col("t"), (F.col("n") - 1).cast("double")))
         .withColumn("cohen_d", effect_size())
     )
-    ranks = wilcoxon(pairs, by, digits).drop("n")
-    return attach(tested, ranks, by, check_size=False).select(
+    ranks = wilcoxon(pairs, by, digits, method).drop("n")
+    return attach(tested, ranks, by).select(
         *by, "n", "t", "t_p", "w", "z", "w_p", "ci_low", "ci_high", "mean_diff",
         F.col("sd_pop").alias("sd_diff"), "cohen_d",
     )

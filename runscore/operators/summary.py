@@ -34,7 +34,7 @@ def overall_metrics(pairs: DataFrame) -> DataFrame:
         F.coalesce(F.avg("delta"), F.lit(0.0)).alias("d"),
         F.coalesce(F.stddev_pop("delta"), F.lit(0.0)).alias("s"),
     )
-    joined = attach(means, medians(pairs, "delta", ["metric"], "m"), ["metric"], "left", check_size=False)
+    joined = attach(means, medians(pairs, "delta", ["metric"], "m"), ["metric"], "left")
     percent = F.coalesce(F.try_divide(F.col("d"), F.col("b")) * 100.0, F.lit(0.0))
     return joined.select(
         "metric",
@@ -129,17 +129,16 @@ def extreme_tasks(pairs: DataFrame) -> DataFrame:
     delta = F.coalesce(F.col("delta"), F.lit(0.0))
     values = pairs.select("metric", "task_id", delta.alias("delta"))
     # the last task of a stable descending sort is the largest id of the lowest delta
-    first = values.groupBy("metric").agg(
-        F.max("delta").alias("first_delta"), F.min("delta").alias("last_delta")
+    falling = F.struct((-F.col("delta")).alias("key"), "task_id", "delta")
+    ends = values.where(F.col("task_id").isNotNull()).groupBy("metric").agg(
+        F.min(falling).alias("first"), F.max(falling).alias("last")
     )
-    joined = attach(values, first, ["metric"])
-    return joined.groupBy("metric").agg(
-        F.min(F.when(F.col("delta") == F.col("first_delta"), F.col("task_id"))).alias(
-            "first_task"
-        ),
-        F.max("first_delta").alias("first_delta"),
-        F.max(F.when(F.col("delta") == F.col("last_delta"), F.col("task_id"))).alias("last_task"),
-        F.max("last_delta").alias("last_delta"),
+    return ends.select(
+        "metric",
+        F.col("first.task_id").alias("first_task"),
+        F.col("first.delta").alias("first_delta"),
+        F.col("last.task_id").alias("last_task"),
+        F.col("last.delta").alias("last_delta"),
     )
 
 

@@ -41,7 +41,7 @@ def top_groups_median(df: DataFrame, group: str, column: str, k: int = 5) -> Dat
         .limit(k)
     )
     rows = df.join(largest.select(group), group, "left_semi")
-    return attach(largest, medians(rows, column, [group]), [group], "left", check_size=False)
+    return attach(largest, medians(rows, column, [group], few=True), [group], "left", few=True)
 
 
 def crosstab_counts(df: DataFrame, row: str, column: str, values: list[object]) -> DataFrame:
@@ -168,7 +168,7 @@ def segment_uplift(
     ties = rated.groupBy("falling").agg(F.count(F.lit(1)).alias("k"))
     ranks = running_totals(ties, "falling", ["k"]).select("falling", "k_before")
     return (
-        attach(rated, ranks, ["falling"], "left", check_size=False)
+        attach(rated, ranks, ["falling"], "left")
         .withColumn("uplift_rank", F.col("k_before") + 1)
         .select(*segments, "n", "positives", "rate", "uplift", "uplift_rank")
     )

@@ -386,13 +386,45 @@ def iqr_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clipped, 4, "o_totalprice_clipped")
 
 
-_SPREAD = "CAST('0x' || SUBSTR(MD5(CAST({key} AS VARCHAR)), 1, 13) AS BIGINT)"
+# --- fixed values: the five primes and the seed of xxhash64 ------------------
+_PRIMES = (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
+    0x27D4EB2F165667C5,
+)
+_SEED = 42
+# ----------------------------------------------------------------------------
+
+
+def _spread(table: str, key: str) -> str:
+    """The table with ``h``, the xxhash64 of a bigint key, in wide SQL integers."""
+    whole = "18446744073709551616::UHUGEINT"
+
+    def times(x: str, prime: int) -> str:
+        return f"(({x}) * {prime}::UHUGEINT) % {whole}"
+
+    def rotated(x: str, bits: int) -> str:
+        return f"(({x} * {1 << bits}::UHUGEINT) % {whole} + {x} // {1 << 64 - bits}::UHUGEINT)"
+
+    def folded(bits: int) -> str:
+        return f"xor(h, h // {1 << bits}::UHUGEINT)"
+
+    p1, p2, p3, p4, p5 = _PRIMES
+    sql = f"SELECT *, {times(f'{key}::UHUGEINT', p2)} AS h FROM {table}"
+    for step in (
+        times(rotated("h", 31), p1),
+        f"xor(h, {(_SEED + p5 + 8) % (1 << 64)}::UHUGEINT)",
+        f"({times(rotated('h', 27), p1)} + {p4}::UHUGEINT) % {whole}",
+        folded(33), times("h", p2), folded(29), times("h", p3), folded(32),
+        f"CASE WHEN h >= {1 << 63}::UHUGEINT THEN h::HUGEINT - {1 << 64}::HUGEINT ELSE h::HUGEINT END",
+    ):
+        sql = f"SELECT * REPLACE ({step} AS h) FROM ({sql})"
+    return f"({sql})"
 
 
 @query(
     "w10_stratified_split",
-    f"""SELECT o_orderkey, o_orderstatus, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY {_SPREAD.format(key='o_orderkey')})
-      <= FLOOR(0.8 * COUNT(*) OVER (PARTITION BY o_orderstatus)) AS is_train FROM orders""",
+    f"""SELECT o_orderkey, o_orderstatus, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY h)
+      <= FLOOR(0.8 * COUNT(*) OVER (PARTITION BY o_orderstatus)) AS is_train FROM {_spread('orders', 'o_orderkey')}""",
 )
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -415,8 +447,8 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     "w15_target_top_share",
     f"""WITH r AS (
       SELECT o_orderstatus = 'F' AS p, COUNT(*) OVER () AS n,
-        ROW_NUMBER() OVER (ORDER BY FLOOR(o_totalprice / 20000) DESC, {_SPREAD.format(key='o_orderkey')}) AS rn
-      FROM orders)
+        ROW_NUMBER() OVER (ORDER BY FLOOR(o_totalprice / 20000) DESC, h) AS rn
+      FROM {_spread('orders', 'o_orderkey')})
     SELECT n, positives, targeted, positives_targeted,
       positives_targeted * 0.5::DOUBLE AS expected_prevented,
       {rnd('positives / n::DOUBLE', 8)} AS rate_before,

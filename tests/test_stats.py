@@ -1,18 +1,23 @@
 """Order statistics and paired tests against published numbers and brute force."""
 
+import itertools
 import math
 import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runscore.functions.distributions import t_quantile, t_two_sided
 from runscore.operators.models import auc, classification_metrics
+from runscore.operators import ordered
 from runscore.operators.ordered import exact_percentiles, order_statistics, running_totals
-from runscore.operators.prep import stratified_split
-from runscore.operators.stats import paired_stats
-from runscore.operators.summary import overall_metrics
+from runscore.operators.prep import impute, iqr_clip, stratified_split
+from runscore.operators.profile import describe_numeric, quality_report
+from runscore.operators.stats import paired_stats, wilcoxon
+from runscore.operators.summary import delta_boxplot, extreme_tasks, overall_metrics
+from runscore.operators.workload import residual_anomaly, target_top_share
 
 # published (baseline, feedback) values of the twenty tasks that have them
 DQS = [
@@ -120,28 +125,137 @@ def test_percentiles_match_brute_force(spark):
     assert alone == pytest.approx(statistics.median(v for _, v, _ in rows if v is not None))
 
 
-def test_too_many_groups_are_not_fetched(spark):
+def test_many_groups(spark):
     groups = 12_000
     table = spark.range(groups).select(
         F.col("id").alias("g"),
         F.explode(F.array(F.col("id").cast("double"), F.col("id") + 1.0)).alias("v"),
     )
     found = exact_percentiles(table, "v", {"m": 0.5}, ["g"])
-    # the join side stays a plan instead of becoming fetched rows
-    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
     wrong = found.where(F.abs(F.col("m") - F.col("g") - 0.5) > 1e-9)
     assert found.count() == groups and wrong.count() == 0
 
 
-def test_few_groups_do_not_shuffle_the_rows(spark, sf):
+def jobs_of(spark, build):
+    """Number of jobs that building a frame starts."""
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    build()
+    return len(set(tracker.getJobIdsForGroup(None)) - before)
+
+
+def test_building_a_plan_starts_no_job(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    pairs = spark.createDataFrame(
+        [("a", "t", 1.0, 2.0, 1.0, True)],
+        "metric string, task_id string, baseline double, feedback double, delta double, improved boolean",
+    )
+    assert jobs_of(spark, lambda: describe_numeric(lines)) == 0
+    assert jobs_of(spark, lambda: quality_report(lines)) == 0
+    assert jobs_of(spark, lambda: impute(lines, "l_tax", by=["l_returnflag"])) == 0
+    assert jobs_of(spark, lambda: iqr_clip(lines, "l_tax")) == 0
+    assert jobs_of(spark, lambda: stratified_split(lines, "l_returnflag", "l_orderkey")) == 0
+    assert jobs_of(spark, lambda: target_top_share(lines, "l_tax", F.col("l_tax") > 0, "l_orderkey")) == 0
+    assert jobs_of(spark, lambda: residual_anomaly(lines, "l_tax", "l_returnflag")) == 0
+    assert jobs_of(spark, lambda: delta_boxplot(pairs)) == 0
+    assert jobs_of(spark, lambda: extreme_tasks(pairs)) == 0
+
+
+def test_counts_precede_the_shuffle(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     found = exact_percentiles(lines, "l_quantity", {"m": 0.5}, ["l_returnflag"])
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "ExistingRDD" in plan
     # what is shuffled was counted per distinct value first
     assert plan.index("partial_count") < plan.index("FileScan")
 
 
+def narrow(spark, rows=1_000_000):
+    """A million values within 1000 of each other, a third of the rows at one of them."""
+    i = F.col("id")
+    offset = F.when(i % 3 == 0, F.lit(500.0)).otherwise(F.pmod(i * 7919, F.lit(rows)) / (rows / 1000.0))
+    return spark.range(0, rows, 1, 8).select(F.lit("g").alias("g"), (F.lit(1.7e9) + offset).alias("v"))
+
+
+def test_narrow_ranges_and_hot_values_are_split(spark):
+    table = narrow(spark)
+    counted = table.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counted.groupBy("g").agg(ordered._splitters("v").alias("cuts"))
+    number = ordered._range_of(F.col("v"), F.col("cuts")).alias("range")
+    sizes = [r["count"] for r in ordered.attach(counted, cuts, ["g"]).select(number).groupBy("range").count().collect()]
+    assert len(sizes) >= 128 and max(sizes) <= 0.02 * sum(sizes)
+
+
+def test_narrow_ranges_match_plain_percentiles(spark):
+    table = narrow(spark, 200_000)
+    found = exact_percentiles(table, "v", {"a": 0.25, "b": 0.5, "c": 0.999}, ["g"]).first()
+    wanted = table.agg(F.percentile("v", [0.25, 0.5, 0.999]).alias("p")).first()["p"]
+    assert [found[c] for c in "abc"] == pytest.approx(wanted, abs=1e-6)
+    counted = table.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    totals = running_totals(counted, "v", ["n"], ["g"])
+    plain = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    checked = totals.withColumn("want", F.coalesce(F.sum("n").over(plain), F.lit(0)))
+    assert checked.where("n_before <> want").count() == 0
+
+
+def test_whole_numbers_are_not_rounded(spark):
+    base = 2**62
+    table = spark.createDataFrame([(base + i,) for i in range(9)], "v long")
+    row = order_statistics(table, "v", {"first": F.lit(0), "fourth": F.lit(3)}).first()
+    assert (row["first"], row["fourth"], row["total"]) == (base, base + 3, 9)
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    table = spark.createDataFrame([(1.0, "a"), (nan, "a"), (3.0, "a"), (None, "a")], "v double, g string")
+    row = describe_numeric(table, ["v"]).first()
+    assert (row["count"], row["mean"], row["min"], row["p50"], row["max"]) == (2, 2.0, 1.0, 2.0, 3.0)
+    for by in ([], ["g"]):
+        filled = impute(table, "v", by=by).collect()
+        assert sorted(r["v"] for r in filled) == [1.0, 2.0, 2.0, 3.0]
+
+
+def signed(spark, differences):
+    rows = [("m", 0.0, float(d)) for d in differences]
+    return spark.createDataFrame(rows, "metric string, baseline double, feedback double")
+
+
+def brute_p(differences):
+    """Two-sided p over all signs of the ranks."""
+    m = len(differences)
+    order = sorted(differences, key=abs)
+    up = sum(i + 1 for i, d in enumerate(order) if d > 0)
+    w = min(up, m * (m + 1) // 2 - up)
+    sums = [sum(r for r, s in zip(range(1, m + 1), signs) if s) for signs in itertools.product([0, 1], repeat=m)]
+    return min(1.0, 2 * sum(s <= w for s in sums) / 2**m)
+
+
+@pytest.mark.parametrize("differences", [range(1, 9), [1, -2, 3, -4, 5], [-1], [3, -1, 2, -7, 6, 9, -10, 11, 4, 12]])
+def test_exact_signed_rank_p(spark, differences):
+    for method in ("exact", "auto"):
+        got = wilcoxon(signed(spark, differences), ["metric"], method=method).first()["w_p"]
+        assert got == pytest.approx(brute_p(list(differences)))
+    if list(differences) == list(range(1, 9)):
+        assert got == pytest.approx(0.0078125)
+
+
+def test_exact_p_needs_untied_differences(spark):
+    for differences in ([1, 1, 2], [0, 1, 2], [1, -1, 2]):
+        table = signed(spark, differences)
+        exact, normal = (wilcoxon(table, ["metric"], method=m).first()["w_p"] for m in ("exact", "approx"))
+        assert exact == normal
+    many = signed(spark, range(1, 61))
+    auto, normal, exact = (wilcoxon(many, ["metric"], method=m).first()["w_p"] for m in ("auto", "approx", "exact"))
+    assert auto == normal and exact == pytest.approx(2.0**-59)
+
+
+def test_equal_differences_have_an_infinite_t(spark):
+    row = paired_stats(signed(spark, [2, 2, 2])).first()
+    assert row["t"] == math.inf and row["t_p"] == 0.0
+    assert paired_stats(signed(spark, [-2, -2])).first()["t"] == -math.inf
+    assert math.isnan(paired_stats(signed(spark, [0, 0])).first()["t"])
+    assert math.isnan(paired_stats(signed(spark, [2])).first()["t"])
+
+
 def test_order_statistics_outside_group_is_null(spark):
     table = spark.createDataFrame([(1.0,), (2.0,)], "v double")
     row = order_statistics(table, "v", {"first": F.lit(0), "third": F.lit(2)}).first()
@@ -185,10 +299,10 @@ def test_split_is_exact_and_keeps_copies_together(spark):
 def test_ranks_do_not_gather_a_group_in_one_task(spark):
     table = spark.createDataFrame([("a", 1.0, 2.0)], "metric string, baseline double, feedback double")
     plan = paired_stats(table)._jdf.queryExecution().executedPlan().toString()
-    # every window over values is also split by bucket or runs over bucket totals
+    # every window over values is also split by range or runs over range totals
     for line in plan.split("\n"):
         if "Window [" in line and "metric" in line:
-            assert "bucket" in line
+            assert "__range" in line
 
 
 def test_split_of_wide_keys_and_infinite_values(spark):
