@@ -84,9 +84,14 @@ def target_top_share(
         spread_key(F.col(key)).alias("h"),
     ).where(F.col("s").isNotNull())
     size = F.ceil(F.col("total") * F.lit(float(share)))
-    cut = order_statistics(rows, "s", {"cut": F.col("total") - size}).select("cut").scalar()
+    cut = order_statistics(rows, "s", {"cut": F.col("total") - size}).select("cut")
 
-    marked = rows.withColumn("cut", cut)
+    def with_one(rows: DataFrame, row: DataFrame) -> DataFrame:
+        """Columns of a table of one row, as attributes that every expression can share."""
+        one = F.lit(0).alias("__one")
+        return attach(rows.select("*", one), row.select("*", one), ["__one"], few=True).drop("__one")
+
+    marked = with_one(rows, cut)
     above = F.col("s") > F.col("cut")
     sums = marked.agg(
         F.count(F.lit(1)).alias("n"),
@@ -95,10 +100,10 @@ def target_top_share(
         F.coalesce(F.sum(F.when(above, F.col("p"))), F.lit(0)).alias("p_above"),
         F.ceil(F.count(F.lit(1)) * F.lit(float(share))).alias("targeted"),
     )
-    room = sums.select(F.col("targeted") - F.col("n_above")).scalar()
-    tied = marked.where(F.col("s") == F.col("cut"))
-    last_tie = order_statistics(tied, "h", {"last": room - 1}).select("last").scalar()
-    taken = tied.where(F.col("h") <= last_tie).agg(F.coalesce(F.sum("p"), F.lit(0)))
+    room = sums.select((F.col("targeted") - F.col("n_above")).alias("room"))
+    tied = with_one(marked.where(F.col("s") == F.col("cut")), room)
+    last = order_statistics(tied, "h", {"last": F.col("room") - 1}, ["room"], few=True).select("last")
+    taken = with_one(tied, last).where(F.col("h") <= F.col("last")).agg(F.coalesce(F.sum("p"), F.lit(0)))
 
     reached = F.col("p_above") + taken.scalar()
     prevented = reached * F.lit(float(success))
