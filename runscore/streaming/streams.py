@@ -6,9 +6,6 @@ the sinks are specific to streams.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runscore.functions.rounding import stable_round
 from runscore.operators.metrics import finish_suite, suite_aggregates
 from runscore.operators.scoring import evaluate_runs
-from runscore.sources.history import load_version, save_version, upsert_runs
+from runscore.sources.history import change_buckets, replace_rows, upsert_runs
 
 
 def stream_scored_runs(runs: DataFrame, **options) -> DataFrame:
@@ -78,25 +75,18 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 
 def stream_windows(windows: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep every window seen so far in versioned tables, open ones included.
+    """Keep every window seen so far in a bucketed table, open ones included.
 
     Update mode: a batch brings the present state of the windows it touched,
-    which replaces their rows. Batch n writes version n + 1 from version n, so a
-    batch that is repeated after a failure gives the same result. Windows need
-    not close to be written; the watermark only bounds the state, and rows later
-    than it are dropped as in any stream.
+    which replaces their rows; buckets without such a window are not rewritten.
+    Batch n writes version n + 1 from the state before it, so a batch that is
+    repeated after a failure gives the same result. Windows need not close to
+    be written; the watermark only bounds the state, and rows later than it are
+    dropped as in any stream. Read the result with ``load_buckets``.
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        table = batch
-        if batch_id:
-            old = load_version(batch.sparkSession, path, batch_id).alias("o")
-            touched = batch.select(*keys).alias("n")
-            same = reduce(and_, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
-            table = old.join(touched, same, "left_anti").unionByName(batch)
-        save_version(table, path, batch_id + 1)
-        batch.unpersist()
+        change_buckets(batch, path, batch_id + 1, keys, lambda state, new: replace_rows(state, new, keys))
 
     return (
         windows.writeStream.outputMode("update")
@@ -107,17 +97,34 @@ def stream_windows(windows: DataFrame, keys: list[str], path: str, checkpoint: s
     )
 
 
-def stream_upsert(runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Insert-or-replace arriving runs into a versioned history.
+def without_repeats(
+    rows: DataFrame, keys: list[str], within: str, event_time: str = "created_at"
+) -> DataFrame:
+    """Drop rows whose keys came before, within a delay of the event time.
+
+    The state holds the keys of that delay. Rows later than it are dropped too.
+    """
+    return rows.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
+
+
+def stream_upsert(
+    runs: DataFrame, path: str, checkpoint: str, repeats_within: str | None = None
+) -> StreamingQuery:
+    """Insert-or-replace arriving runs into a bucketed history.
 
-    Batch n reads version n and writes version n + 1. A batch that is repeated
-    after a failure reads and writes the same versions, so the result is the
-    same as if it had run once. Version 0 must exist (see ``save_version``).
+    Batch n writes version n + 1 of the buckets its runs fall in, from the state
+    before it; a batch repeated after a failure has the same result as one run.
+    Rows that are stored already are dropped without rewriting their bucket, and
+    late rows are merged like any others. ``repeats_within`` drops repeats of
+    (run_id, created_at) in the stream as well, ahead of any read of the
+    history, and with them rows later than that delay. Version 0 may hold an
+    earlier history (see ``save_buckets``, key run_id).
     """
+    if repeats_within is not None:
+        runs = without_repeats(runs, ["run_id", "created_at"], repeats_within)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        history = load_version(batch.sparkSession, path, batch_id)
-        save_version(upsert_runs(history, batch), path, batch_id + 1)
+        change_buckets(batch, path, batch_id + 1, ["run_id"], upsert_runs)
 
     return (
         runs.writeStream.foreachBatch(apply_batch)
