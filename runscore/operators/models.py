@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runscore.functions.rounding import total
+from runscore.operators.linear import fit_linear, is_plain_linear
 from runscore.operators.ordered import running_totals
 from runscore.operators.prep import modes, stratified_split, with_class_weights
 from runscore.operators.profile import infer_task_type, numeric_columns
@@ -242,7 +243,14 @@ def evaluate(scored: DataFrame, spec: ModelSpec) -> DataFrame:
 
 
 def train_eval(df: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Train one model and return its test metrics as one row (action)."""
+    """Train one model and return its test metrics as one row (action).
+
+    Plain linear regression comes from one aggregate (``operators/linear.py``).
+    """
+    fitted = fit_linear(df, spec) if is_plain_linear(spec) else None
+    if fitted is not None:
+        found = fitted.metrics()
+        return df.sparkSession.createDataFrame([(found["rmse"], found["r2"])], "rmse double, r2 double")
     split = prepare(df, spec)
     model = fit(split, spec)
     result = one_row(evaluate(model.transform(split.test), spec))
@@ -363,10 +371,16 @@ def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
 def feature_group_ablation(
     df: DataFrame, spec: ModelSpec, groups: dict[str, list[str]], metric: str
 ) -> DataFrame:
-    """Score with each feature group alone and with each removed (action)."""
-    split = prepare(df, spec)
+    """Score with each feature group alone and with each removed (action).
 
-    def score(kept: list[str]) -> float:
+    For plain linear regression every score is a sub-matrix of one aggregate.
+    """
+    fitted = fit_linear(df, spec) if is_plain_linear(spec) else None
+    split = prepare(df, spec) if fitted is None else None
+
+    def score(kept: list[str]) -> float | None:
+        if fitted is not None:
+            return fitted.metrics(kept)[metric]
         part = ModelSpec(
             spec.target, spec.key,
             tuple(c for c in spec.numeric if c in kept),
@@ -383,7 +397,8 @@ def feature_group_ablation(
     for name, members in groups.items():
         rest = [c for c in everything if c not in members]
         rows.append((name, score(members), score(rest) if rest else None, whole))
-    split.release()
+    if split is not None:
+        split.release()
     table = df.sparkSession.createDataFrame(
         rows, "feature_group string, alone double, removed double, all_features double"
     )
