@@ -9,6 +9,7 @@ from runscore.functions.rounding import stable_round
 from runscore.operators.iterations import gap_trend, latest_feedback
 from runscore.operators.metrics import suite_metrics
 from runscore.schemas import BASELINE, COMPONENT_GATE, COMPONENTS, FEEDBACK, METRICS
+from runscore.sources.batches import append_batch
 from runscore.sources.runs import SUITE_PREFIX
 
 # --- fixed values: interpretation texts -------------------------------------
@@ -152,7 +153,8 @@ def compare_metrics(runs: DataFrame) -> DataFrame:
 def compare_latest(runs: DataFrame) -> DataFrame:
     """Comparison of the newest suite file of each condition, tasks unpaired.
 
-    A condition without suite files takes all of its files.
+    A condition without suite files takes all of its files. A file without runs
+    is not seen here; ``read_latest`` of both folders takes it into account.
     """
     is_suite = F.col("file_name").startswith(SUITE_PREFIX)
     newest = runs.groupBy("mode").agg(F.max(F.when(is_suite, F.col("file_name"))).alias("newest"))
@@ -160,6 +162,28 @@ def compare_latest(runs: DataFrame) -> DataFrame:
     return compare_metrics(chosen.drop("newest"))
 
 
+def compare_two_files(baseline: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Eight rows comparing the first run of each of two files, whatever their tasks and modes."""
+    return compare_metrics(_first_of_each(baseline, feedback))
+
+
+def breakdown_of_two_files(baseline: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Eight component rows for the first run of each of two files; 0 where a side has no critic."""
+    return _long_breakdown(_first_of_each(baseline, feedback), [])
+
+
+def _first_of_each(baseline: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The first runs of two files, taken as the two conditions; an error if a file has none (action)."""
+
+    def first(runs: DataFrame, mode: str) -> DataFrame:
+        return runs.orderBy("position").limit(1).withColumn("mode", F.lit(mode))
+
+    both = first(baseline, BASELINE).unionByName(first(feedback, FEEDBACK))
+    if both.select("mode").count() < 2:
+        raise ValueError("one or both files hold no run")
+    return both
+
+
 def paired_runs_long(runs: DataFrame, **latest) -> DataFrame:
     """Latest runs of paired tasks in long form, one row per (task, mode)."""
     chosen = latest_per_task(runs, **latest)
@@ -185,16 +209,20 @@ def compare_pairs(runs: DataFrame, **latest) -> DataFrame:
 
 def decision_breakdown(runs: DataFrame, **latest) -> DataFrame:
     """Eight component rows for every paired task; 0 where a side has no critic."""
+    return _long_breakdown(paired_runs_long(runs, **latest), ["task_id"])
+
+
+def _long_breakdown(runs: DataFrame, keys: list[str]) -> DataFrame:
     scores = F.col("evaluation")["decision_evaluation"]["scores"]
-    wide = paired_runs_long(runs, **latest).select(
-        "task_id",
+    wide = runs.select(
+        *keys,
         "mode",
         *[
             F.coalesce(F.round(scores[field], 4), F.lit(0.0)).alias(name)
             for field, name in COMPONENTS.items()
         ],
     )
-    return long_comparison(wide, ["task_id"], list(COMPONENTS.values()), "component")
+    return long_comparison(wide, keys, list(COMPONENTS.values()), "component")
 
 
 def radar_series(breakdown: DataFrame) -> DataFrame:
@@ -331,6 +359,14 @@ def comparison_log(runs: DataFrame, *, logged_at: Column | None = None, **latest
     )
 
 
+def log_comparisons(runs: DataFrame, path: str, batch: str, **options) -> None:
+    """Append the comparison log of new runs as a batch (action).
+
+    The same batch again replaces its rows; read with ``read_batches``.
+    """
+    append_batch(comparison_log(runs, **options), path, batch)
+
+
 def with_task_meta(table: DataFrame, tasks: DataFrame) -> DataFrame:
     """Add dataset and difficulty from the task catalogue; missing ones are empty.
 

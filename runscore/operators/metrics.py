@@ -157,7 +157,16 @@ def suite_metrics(
 
 
 def run_history_row(runs: DataFrame) -> DataFrame:
-    """Flat history row per run."""
+    """Flat history row per run; ``payload`` holds its values as JSON text.
+
+    ``parse_json(payload)`` gives a variant for fields that have no column.
+    """
+    flat = _history_columns(runs)
+    values = [c for c in flat.columns if c not in ("run_id", "mode", "created_at")]
+    return flat.withColumn("payload", F.to_json(F.struct(*values), {"ignoreNullFields": "false"}))
+
+
+def _history_columns(runs: DataFrame) -> DataFrame:
     return runs.select(
         "run_id",
         "mode",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runscore.functions.rounding import stable_round
 from runscore.operators.compare import with_task_meta
-from runscore.operators.ordered import attach, exact_percentiles, medians
+from runscore.operators.ordered import attach, exact_percentiles, medians, running_totals
 from runscore.schemas import COMPONENTS, DIFFICULTY_RANK, METRICS
 
 LEADER_METRICS = ["ORS", "DQS", "FIS", "BAS"]
@@ -90,7 +90,10 @@ def overall_breakdown(breakdown: DataFrame) -> DataFrame:
 
 
 def leaderboard(pairs: DataFrame) -> DataFrame:
-    """Four deltas and the improved count per task, best ORS gain first."""
+    """Four deltas, the improved count and the rank per task, best ORS gain first.
+
+    Tasks of equal gain share a rank; they are ordered by id.
+    """
 
     def delta(metric: str) -> Column:
         return F.coalesce(
@@ -98,14 +101,15 @@ def leaderboard(pairs: DataFrame) -> DataFrame:
         ).alias(f"{metric}_Delta")
 
     improved = F.col("improved") & F.col("metric").isin(METRICS)
-    return (
-        pairs.groupBy("task_id")
-        .agg(
-            *[delta(m) for m in LEADER_METRICS],
-            F.count_if(F.coalesce(improved, F.lit(False))).alias("Execution_Improved_Count"),
-        )
-        .orderBy(F.col("ORS_Delta").desc(), F.col("task_id"))
+    board = pairs.groupBy("task_id").agg(
+        *[delta(m) for m in LEADER_METRICS],
+        F.count_if(F.coalesce(improved, F.lit(False))).alias("Execution_Improved_Count"),
+    )
+    ties = board.groupBy((-F.col("ORS_Delta")).alias("falling")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = running_totals(ties, "falling", ["n"]).select(
+        (-F.col("falling")).alias("ORS_Delta"), (F.col("n_before") + 1).alias("rank")
     )
+    return attach(board, ahead, ["ORS_Delta"], "left").orderBy(F.col("ORS_Delta").desc(), F.col("task_id"))
 
 
 def _ranked(pairs: DataFrame, best: bool = True) -> DataFrame:

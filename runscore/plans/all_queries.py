@@ -5,6 +5,7 @@ from runscore.plans import (  # noqa: F401
     data_queries,
     metric_queries,
     model_queries,
+    reader_queries,
     scoring_queries,
     source_queries,
     stream_queries,

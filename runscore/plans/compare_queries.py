@@ -21,7 +21,9 @@ from runscore.plans.oracle import (
     unpivoted,
 )
 from runscore.plans.registry import query
+from runscore.runtime import scratch_path
 from runscore.schemas import COMPONENTS
+from runscore.sources.batches import read_batches
 
 WITH = f"WITH {PAIR_BASE}\n"
 WITH_PAIRS = f"WITH {PAIR_BASE},\n{PAIRS_CTE}\n"
@@ -256,6 +258,15 @@ def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.comparison_log(run_records(spark, sf_dir)).drop("timestamp")
 
 
+@query("s12_appended_log", _log_sql())
+def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log appended twice under one name, and read back."""
+    path = scratch_path(spark, "comparison-log")
+    for _ in range(2):
+        C.log_comparisons(run_records(spark, sf_dir), path, "first")
+    return read_batches(spark, path).drop("timestamp", "batch")
+
+
 @query(
     "w28_before_after",
     f"""WITH {METRIC_BASE} SELECT task_id, baseline, feedback_loop,

@@ -180,5 +180,5 @@ def suite_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.run_history_row(run_records(spark, sf_dir)).drop(
-        "query", "dataset_path", "created_at"
+        "query", "dataset_path", "created_at", "payload"
     )

@@ -90,7 +90,8 @@ _LEADER = ", ".join(
 
 @query(
     "r4_leaderboard",
-    f"""{WITH} SELECT *, ROW_NUMBER() OVER (ORDER BY "ORS_Delta" DESC, task_id) AS place FROM (
+    f"""{WITH} SELECT *, ROW_NUMBER() OVER (ORDER BY "ORS_Delta" DESC, task_id) AS place,
+      RANK() OVER (ORDER BY "ORS_Delta" DESC) AS rank FROM (
       SELECT task_id, {_LEADER}, COUNT(*) FILTER (WHERE improved) AS "Execution_Improved_Count"
       FROM pairs GROUP BY task_id)""",
 )

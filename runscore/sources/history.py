@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from runscore.operators.iterations import explode_rounds
 from runscore.operators.profile import row_fingerprint
+from runscore.sources.batches import append_batch
 
 BUCKETS = 64
 _PLACE = re.compile(r"/version=(\d+)/bucket=(\d+)/")
@@ -193,6 +194,9 @@ def feedback_rows(runs: DataFrame) -> DataFrame:
     )
 
 
-def append_feedback(runs: DataFrame, path: str) -> None:
-    """Append the feedback rows of new runs (action)."""
-    feedback_rows(runs).write.mode("append").parquet(path)
+def append_feedback(runs: DataFrame, path: str, batch: str) -> None:
+    """Append the feedback rows of new runs as a batch (action).
+
+    The same batch again replaces its rows; read with ``read_batches``.
+    """
+    append_batch(feedback_rows(runs), path, batch)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runscore.schemas import LOG_DDL
 
 METRIC_FILES = "comparison_metrics_task_*.csv"
+MOST_FIELDS = 32  # columns of a metric table that are looked at
 BREAKDOWN_FILES = "decision_breakdown_task_*.csv"
 _TASK_IN_NAME = r"^(?:comparison_metrics|decision_breakdown|comparison_report)_(task_.*)\.[a-z]+$"
 
@@ -15,31 +16,53 @@ _TASK_IN_NAME = r"^(?:comparison_metrics|decision_breakdown|comparison_report)_(
 def read_metric_tables(spark: SparkSession, path: str, glob: str = METRIC_FILES) -> DataFrame:
     """task_id, metric, baseline, feedback, delta, improved from CSV tables.
 
-    The key column may be called metric or component. Text that is not a
-    number becomes null.
+    Columns are found by the names in each file's own header, in any order; the
+    key column is metric or, where that is absent or empty, component. Text
+    that is not a number becomes null. Of rows with equal keys in a file the
+    last one counts. A table is small, so a file is one text.
     """
-    raw = spark.read.option("pathGlobFilter", glob).text(path)
-    lines = raw.select(
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    lines = F.filter(F.split("value", r"\r\n|\n|\r"), lambda line: line != "")
+    tables = files.select(
+        F.col("_metadata.file_name").alias("file_name"),
         F.regexp_extract(F.col("_metadata.file_name"), _TASK_IN_NAME, 1).alias("task_id"),
-        F.from_csv(
-            F.col("value"),
-            "metric string, baseline string, feedback string, delta string, improved string",
-        ).alias("r"),
+        lines.alias("lines"),
     )
+    rows = tables.select(
+        "file_name",
+        "task_id",
+        _csv_fields(F.get("lines", F.lit(0))).alias("header"),
+        F.posexplode("lines").alias("place", "line"),
+    ).where(F.col("place") > 0)
+    named = rows.select("file_name", "task_id", "place", "header", _csv_fields(F.col("line")).alias("fields"))
+
+    def field(name: str) -> Column:
+        return F.get("fields", F.array_position("header", F.lit(name)).cast("int") - 1)
 
-    def number(name: str):
-        return F.col(f"r.{name}").try_cast("double").alias(name)
+    def number(name: str, source: str) -> Column:
+        return field(source).try_cast("double").alias(name)
 
-    return lines.where(
-        F.col("r.metric").isNotNull() & ~F.col("r.metric").isin("metric", "component", "")
-    ).select(
+    key = F.coalesce(F.nullif(field("metric"), F.lit("")), F.nullif(field("component"), F.lit("")))
+    found = named.select(
+        "file_name",
         "task_id",
-        F.col("r.metric").alias("metric"),
-        number("baseline"),
-        number("feedback"),
-        number("delta"),
-        F.coalesce(F.col("r.improved").isin("True", "true", "1"), F.lit(False)).alias("improved"),
-    )
+        key.alias("metric"),
+        F.struct(
+            "place",
+            number("baseline", "baseline"),
+            number("feedback", "feedback_loop"),
+            number("delta", "delta"),
+            F.coalesce(field("improved").isin("True", "true", "1"), F.lit(False)).alias("improved"),
+        ).alias("row"),
+    ).where(F.col("metric").isNotNull())
+    last = found.groupBy("file_name", "task_id", "metric").agg(F.max("row").alias("row"))
+    return last.select("task_id", "metric", "row.baseline", "row.feedback", "row.delta", "row.improved")
+
+
+def _csv_fields(line: Column) -> Column:
+    """Fields of a CSV line as an array, nulls for those it does not have."""
+    wide = F.from_csv(line, ", ".join(f"c{i} string" for i in range(MOST_FIELDS)))
+    return F.array(*[wide[f"c{i}"] for i in range(MOST_FIELDS)])
 
 
 def discover_tasks(spark: SparkSession, path: str) -> DataFrame:

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 
 from runscore.operators import compare as C
 from runscore.sources.datasets import DatasetSpec, read_dataset
-from runscore.sources.history import load_version, save_version, upsert_runs
+from runscore.operators.metrics import run_history_row
+from runscore.sources import runs as readers
+from runscore.sources.batches import append_batch, committed_batches, read_batches
+from runscore.sources.history import append_feedback, load_version, save_version, upsert_runs
+from runscore.sources.named import file_names, write_named_files
 from runscore.sources.runs import (
     latest_file,
     list_run_files,
+    read_latest,
     read_runs,
     read_tasks,
     unreadable_files,
     write_runs,
+    write_suite_files,
 )
 from runscore.sources.tables import BREAKDOWN_FILES, discover_tasks, read_metric_tables
 
@@ -69,8 +75,15 @@ def test_file_listing_and_latest_file(spark, tmp_path):
         ("baseline", "20260607_110000", "benchmark_20260607_110000.json", ""),
         ("feedback_loop", "20260607_120000", "benchmark_20260607_120000.json", "c"),
     }
-    newest = latest_file(read_runs(spark, str(tmp_path / "b")))
-    assert sorted(r["run_id"] for r in newest.collect()) == ["r-a", "r-b"]
+    runs = read_runs(spark, str(tmp_path / "b"))
+    # the newest suite is empty, which only a list of the files or the reader itself can see
+    assert latest_file(runs, file_names(spark, str(tmp_path / "b"))).count() == 0
+    assert read_latest(spark, str(tmp_path / "b")).count() == 0
+    assert [r["run_id"] for r in read_latest(spark, str(tmp_path / "f"), mode="x").collect()] == ["r-c"]
+    assert sorted(r["run_id"] for r in latest_file(runs).collect()) == ["r-a", "r-b"]
+    put(tmp_path / "old", "one.json", record(run_id="o1"))
+    put(tmp_path / "old", "two.json", [record(run_id="o2")])
+    assert sorted(r["run_id"] for r in read_latest(spark, str(tmp_path / "old")).collect()) == ["o1", "o2"]
     legacy = latest_file(read_runs(spark, str(tmp_path / "b"), glob="notes.json"))
     assert [r["run_id"] for r in legacy.collect()] == ["n"]
 
@@ -140,3 +153,110 @@ def test_mode_is_a_partition(spark, tmp_path, sf):
     write_runs(run_records(spark, sf), str(tmp_path / "runs"))
     one = spark.read.parquet(str(tmp_path / "runs")).where("mode = 'baseline'").select("run_id")
     assert "PartitionFilters: [isnotnull(mode" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_that_are_no_records(spark, tmp_path):
+    put(tmp_path, "list.json", [1, "x", None, record(run_id="a"), [record(run_id="no")], record(run_id="b")])
+    put(tmp_path, "keys.json", {"query": None, "dataset_path": None, "run_id": "k"})
+    put(tmp_path, "results.json", {"results": "none", "query": "q", "dataset_path": "d", "run_id": "s"})
+    put(tmp_path, "half.json", {"query": "q", "run_id": "no"})
+    put(tmp_path, "types.json", [{"run_id": "t", "query": "q", "iterations": "three", "created_at": "yesterday", "metrics": {"a": 1, "b": "x"}}])
+    found = {(r["file_name"], r["run_id"]): r for r in read_runs(spark, str(tmp_path)).collect()}
+    assert set(found) == {
+        ("list.json", "a"), ("list.json", "b"), ("keys.json", "k"), ("results.json", "s"), ("types.json", "t"),
+    }
+    assert found["list.json", "a"]["position"] == 0 and found["list.json", "b"]["position"] == 1
+    odd = found["types.json", "t"]
+    assert odd["iterations"] is None and odd["created_at"] is None and odd["metrics"] == {"a": 1.0, "b": None}
+
+
+def test_documents_too_large_for_a_variant(spark):
+    texts = [json.dumps(suite("a", "b")), json.dumps([record(run_id="l")]), "{no json", "[no json"]
+    docs = spark.createDataFrame([(t,) for t in texts], "value string").withColumn("doc", F.lit(None).cast("variant"))
+    ids = docs.select(F.transform(readers._records(), lambda r: F.variant_get(r, "$.run_id", "string")).alias("ids"))
+    assert [r["ids"] or [] for r in ids.collect()] == [["r-a", "r-b"], ["l"], [], []]
+
+
+def test_suites_come_back_as_they_were(spark, tmp_path):
+    put(tmp_path / "in", "benchmark_1.json", suite("a", "b", "c"))
+    put(tmp_path / "in", "benchmark_2.json", suite("d"))
+    runs = read_runs(spark, str(tmp_path / "in"))
+    assert write_suite_files(runs, str(tmp_path / "out")) == 2
+    assert write_suite_files(runs, str(tmp_path / "bare"), bare=True) == 2
+    wanted = {(r["file_name"], r["position"]): r.asDict() for r in runs.drop("file_path").collect()}
+    for folder in ("out", "bare"):
+        got = read_runs(spark, str(tmp_path / folder)).drop("file_path").collect()
+        assert {(r["file_name"], r["position"]): r.asDict() for r in got} == wanted
+    assert write_named_files(spark.createDataFrame([], "name string, value string"), str(tmp_path / "none")) == 0
+
+
+def test_a_file_is_parsed_once(spark, tmp_path):
+    put(tmp_path, "benchmark_1.json", suite("a"))
+    plan = read_runs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 3  # the file, and the entries of one too large in either layout
+    assert "RebalancePartitions" in plan
+
+
+def test_two_named_files(spark, tmp_path):
+    for name, status, score in (("b.json", "failure", 0.2), ("f.json", "success", 0.9)):
+        runs = [record(run_id=i, execution={"status": status}, evaluation={"task_completion_score": score}) for i in "xy"]
+        put(tmp_path, name, runs)
+    baseline, feedback = (read_runs(spark, str(tmp_path / n)) for n in ("b.json", "f.json"))
+    rows = {r["metric"]: (r["baseline"], r["feedback_loop"], r["improved"]) for r in C.compare_two_files(baseline, feedback).collect()}
+    assert rows["ESR"] == (0.0, 1.0, True) and rows["TCR"] == (0.0, 1.0, True) and len(rows) == 8
+    assert C.breakdown_of_two_files(baseline, feedback).count() == 8
+    with pytest.raises(ValueError, match="no run"):
+        C.compare_two_files(baseline, feedback.where("false"))
+
+
+def test_metric_columns_are_found_by_name(spark, tmp_path):
+    put(tmp_path, "comparison_metrics_task_001.csv",
+        "improved,delta,note,metric,component,feedback_loop,baseline\r\n"
+        '1,0.5,"a, b",TCR,x,1.0,0.5\r\n\r\nTrue,,,,Preprocessing,7,\r\nno,0.25,,TCR,,0.75,0.5\r\n0,1,,,,2,3\r\n')
+    put(tmp_path, "comparison_metrics_task_002.csv", "metric,baseline\nTCR,0.125\nESR\n")
+    put(tmp_path, "comparison_metrics_task_003.csv", "")
+    rows = {(r["task_id"], r["metric"]): tuple(r)[2:] for r in read_metric_tables(spark, str(tmp_path)).collect()}
+    assert rows == {
+        ("task_001", "TCR"): (0.5, 0.75, 0.25, False),  # the last row of a repeated metric
+        ("task_001", "Preprocessing"): (None, 7.0, None, True),
+        ("task_002", "TCR"): (0.125, None, None, False),
+        ("task_002", "ESR"): (None, None, None, False),
+    }
+
+
+def test_an_append_survives_a_repeat(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert read_batches(spark, path) is None
+    rows = spark.range(5)
+    for _ in range(2):
+        append_batch(rows, path, "one")
+    append_batch(rows.selectExpr("id + 5 AS id"), path, "two")
+    assert committed_batches(spark, path) == ["one", "two"]
+    assert sorted(r["id"] for r in read_batches(spark, path).collect()) == list(range(10))
+    # a batch whose write has not ended has no mark yet
+    rows.write.parquet(f"{path}/batch=three")
+    (tmp_path / "log" / "batch=three" / "_SUCCESS").unlink()
+    assert read_batches(spark, path).count() == 10
+    append_batch(rows, path, "three")
+    assert read_batches(spark, path).count() == 15
+    with pytest.raises(ValueError, match="batch name"):
+        append_batch(rows, path, "../x")
+
+
+def test_feedback_and_comparisons_are_appended_once(spark, tmp_path):
+    put(tmp_path / "b", "benchmark_1.json", suite("t"))
+    put(tmp_path / "f", "benchmark_1.json", suite("t", mode="feedback_loop"))
+    runs = read_runs(spark, [str(tmp_path / "b"), str(tmp_path / "f")])
+    for _ in range(2):
+        C.log_comparisons(runs, str(tmp_path / "log"), "r1")
+        append_feedback(runs.withColumn("feedback_history", F.from_json(F.lit('[{"iteration": 0, "score": 0.5}]'), "array<struct<iteration:int,score:double,passed:boolean,items:array<struct<category:string,severity:string,message:string,recommendation:string>>,summary:string,qualification_score:double,qualified:boolean,decision_score:double,decision_summary:string,decision_recommendations:array<string>>>")), str(tmp_path / "rounds"), "r1")
+    assert read_batches(spark, str(tmp_path / "log")).count() == 1
+    assert read_batches(spark, str(tmp_path / "rounds")).count() == 2
+
+
+def test_payload_keeps_every_value(spark, tmp_path):
+    put(tmp_path, "benchmark_1.json", suite("t"))
+    row = run_history_row(read_runs(spark, str(tmp_path))).first()
+    payload = json.loads(row["payload"])
+    assert payload["task_id"] == "t" and payload["score"] is None and payload["execution_success"] == 1
+    assert set(payload) == set(row.asDict()) - {"run_id", "mode", "created_at", "payload"}
