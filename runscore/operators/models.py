@@ -7,12 +7,9 @@ features, never over rows.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -33,11 +30,14 @@ from pyspark.sql import functions as F
 
 from runscore.functions.rounding import total
 from runscore.operators.linear import fit_linear, is_plain_linear
-from runscore.operators.ordered import running_totals
+from runscore.operators.ordered import attach, running_totals
 from runscore.operators.prep import modes, stratified_split, with_class_weights
 from runscore.operators.profile import infer_task_type, numeric_columns
+from runscore.runtime import scratch_path
 
 SEED = 42
+BUCKET_BITS = 12  # buckets of a random order
+COPIES = 4096  # copies of one row that a task makes at once
 LABEL, PREDICTION, FEATURES = "label", "prediction", "features"
 FOREST = {"numTrees": 100, "maxDepth": 10}  # trees as in the reference, whose depth has no limit
 CLASSIFIERS = {
@@ -309,22 +309,51 @@ def compare_models(df: DataFrame, specs: dict[str, ModelSpec], metric: str) -> D
     return table.withColumn("place", F.row_number().over(Window.orderBy(order, "model")))
 
 
-def permuted(rows: DataFrame, column: str, seed: int = SEED) -> DataFrame:
-    """Shuffle one column against the others.
+def ranked(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """Number all rows from 0 in a random order, as the long column ``__rank``.
 
-    Rows are dealt out evenly over the partitions first, which mixes them and
-    splits any number of equal rows; the column is then permuted within each
-    Arrow batch. Every value is used exactly once.
+    The order is that of a seeded hash of the whole row and the number of its
+    copy, so it does not depend on how the rows are stored or dealt out, and
+    copies of one row are spread as well. Rows are numbered within buckets of
+    the hash; offsets come from the bucket counts.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = rows.columns
+    copies = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = copies.withColumn("__block", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {COPIES}"))))
+    # a row with very many copies is dealt out by block before the copies are made
+    dealt = blocks.repartition(*columns, "__block")
+    first = F.col("__block") * COPIES
+    each = F.sequence(first, F.least(first + COPIES, F.col("__n")) - 1)
+    single = dealt.withColumn("__copy", F.explode(each)).withColumn(
+        "__hash", F.xxhash64(F.lit(seed), *columns, "__copy")
+    )
+    placed = single.withColumn("__bucket", F.shiftright("__hash", 64 - BUCKET_BITS).cast("int"))
+    counts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__bucket").orderBy("__hash", *columns, "__copy")
+    numbered = attach(placed, offsets, ["__bucket"], few=True)
+    return numbered.select(*columns, (F.col("__offset") + F.row_number().over(inside) - 1).alias("__rank"))
+
+
+def with_shifted(numbered: DataFrame, column: str, n: int, seed: int) -> DataFrame:
+    """Rows numbered by ``ranked`` with the column's value of the row some places on."""
+    shift = 1 + np.random.default_rng(seed).integers(n - 1) if n > 1 else 0
+    moved = numbered.select(
+        F.pmod(F.col("__rank") - F.lit(int(shift)), F.lit(max(n, 1))).alias("__rank"), F.col(column).alias("__moved")
+    )
+    joined = numbered.join(moved, "__rank").withColumn(column, F.col("__moved"))
+    return joined.select(*[c for c in numbered.columns if c != "__rank"])
 
-    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            dice = np.random.default_rng([seed, part, number])
-            yield batch.assign(**{column: dice.permutation(batch[column].to_numpy())})
 
-    return rows.repartition(parts).mapInPandas(permute, rows.schema)
+def permuted(rows: DataFrame, column: str, seed: int = SEED) -> DataFrame:
+    """Shuffle one column against the others over the whole table (action: counts the rows).
+
+    Rows are numbered in a seeded random order, and each takes the value of the
+    row a random number of places further on. Every value is used exactly once,
+    no row keeps its own, and the result depends on the rows and the seed only.
+    """
+    return with_shifted(ranked(rows, seed), column, rows.count(), seed)
 
 
 def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -337,7 +366,7 @@ def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
         raise ValueError("feature importance takes numeric features")
     split = prepare(df, spec)
     model = fit(split, spec)
-    test = split.test
+    test = split.test.select(LABEL, *spec.numeric)
     metric = "accuracy" if spec.task == "classification" else "r2"
 
     def score(rows: DataFrame) -> float:
@@ -349,12 +378,14 @@ def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
         )
         return float(table.first()[metric])
 
-    whole = score(test)
+    whole, n = score(test), test.count()
+    numbered = ranked(test).persist()
     built_in = model.stages[-1].featureImportances.toArray()
     rows = [
-        (name, float(built_in[i]), whole - score(permuted(test, name)))
+        (name, float(built_in[i]), whole - score(with_shifted(numbered, name, n, SEED + i)))
         for i, name in enumerate(spec.numeric)
     ]
+    numbered.unpersist()
     split.release()
     table = df.sparkSession.createDataFrame(
         rows, "feature string, forest_importance double, permutation_importance double"
@@ -457,32 +488,46 @@ def counterfactuals(
     key: str,
     wanted: float,
 ) -> DataFrame:
-    """Fewest feature edits that give the wanted prediction, per row.
+    """Fewest feature edits that give the wanted prediction, per row (action).
 
-    ``edits`` is a fixed grid of feature values; each row is expanded over it
-    within its own task, and the best edit is a partial aggregate per key.
-    Ties go to the edit listed first.
+    ``key`` must identify a row. ``edits`` is a fixed list of feature values.
+    They are tried level by level, those that change one feature first; rows
+    that have flipped leave by an anti join, so later and larger edits meet
+    only what is left. Ties go to the edit listed first. Levels are written to
+    the shared folder; nothing stays in memory.
     """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "counterfactuals")
     names = sorted({name for edit in edits for name in edit})
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("edit"),
-                F.lit(len(edit)).alias("changes"),
-                *[
-                    F.lit(float(edit[n]) if n in edit else None).cast("double").alias(n)
-                    for n in names
-                ],
-            )
-            for i, edit in enumerate(edits)
-        ]
-    )
-    tried = rows.withColumn("option", F.explode(options)).withColumns(
-        {n: F.coalesce(F.col("option")[n], F.col(n).cast("double")) for n in names}
-    )
-    flipped = model.transform(tried).where(F.col(PREDICTION) == wanted)
-    cost = F.struct(F.col("option")["changes"], F.col("option")["edit"])
-    return flipped.groupBy(key).agg(
-        F.min_by(F.col("option")["edit"], cost).alias("edit"),
-        F.min(F.col("option")["changes"]).alias("changes"),
-    )
+    kind = dict(rows.dtypes)[key]
+    result = f"{key} {kind}, edit int, changes int"
+    written: list[str] = []
+    for changes in sorted({len(edit) for edit in edits}):
+        level = [(i, edit) for i, edit in enumerate(edits) if len(edit) == changes]
+        options = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("edit"),
+                    *[
+                        F.lit(float(edit[n]) if n in edit else None).cast("double").alias(n)
+                        for n in names
+                    ],
+                )
+                for i, edit in level
+            ]
+        )
+        left = rows
+        if written:
+            left = rows.join(spark.read.schema(result).parquet(*written).select(key), key, "left_anti")
+        tried = left.withColumn("option", F.explode(options)).withColumns(
+            {n: F.coalesce(F.col("option")[n], F.col(n).cast("double")) for n in names}
+        )
+        flipped = model.transform(tried).where(F.col(PREDICTION) == wanted)
+        found = flipped.groupBy(key).agg(
+            F.min(F.col("option")["edit"]).alias("edit"), F.lit(changes).alias("changes")
+        )
+        written.append(f"{path}/level={changes}")
+        found.write.parquet(written[-1])
+    if not written:
+        return spark.createDataFrame([], result)
+    return spark.read.schema(result).parquet(*written)

@@ -77,6 +77,14 @@ def one_group(df: DataFrame, by: list[str], few: bool) -> tuple[DataFrame, list[
     return (df, list(by), few) if by else (df.withColumn("__all", F.lit(0)), ["__all"], True)
 
 
+def with_ranges(counted: DataFrame, value: str, name: str) -> DataFrame:
+    """Number the range of a table's distinct values that each value falls in; null values in none."""
+    table, by, few = one_group(counted, [], True)
+    cuts = table.groupBy(*by).agg(_splitters(value).alias("__cuts"))
+    number = F.when(F.col(value).isNotNull(), _range_of(F.col(value).cast("double"), F.col("__cuts")))
+    return attach(table, cuts, by, few=few).withColumn(name, number).drop("__cuts", "__all")
+
+
 def order_statistics(
     df: DataFrame,
     value: str,

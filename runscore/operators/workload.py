@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runscore.operators.ordered import attach, medians, order_statistics, running_totals, spread_key
+from runscore.operators.ordered import (
+    attach,
+    medians,
+    order_statistics,
+    running_totals,
+    spread_key,
+    with_ranges,
+)
 from runscore.operators.profile import distinct_counts
 
 
@@ -145,15 +152,25 @@ def leakage_screen(
 def response_curve(df: DataFrame, contacts: str, outcome: Column) -> DataFrame:
     """Rate and marginal change per contact count, and where gains first stop.
 
-    The unpartitioned window runs over one row per distinct contact count. The
-    counts of n contacts have at most sqrt(2n) distinct values, so it is small.
+    The curve is cut into ranges of contact counts; the first point of a range
+    takes the rate before it from the last point of the range before.
     """
     curve = df.groupBy(contacts).agg(F.count(F.lit(1)).alias("n"), _rate(outcome).alias("rate"))
-    in_order = Window.orderBy(contacts)
-    gain = F.col("rate") - F.lag("rate").over(in_order)
-    curve = curve.withColumn("marginal", gain)
-    stop = F.min(F.when(F.col("marginal") <= 0, F.col(contacts))).over(Window.partitionBy())
-    return curve.withColumn("first_without_gain", stop)
+    cut = with_ranges(curve, contacts, "__range")
+    borders = cut.where(F.col(contacts).isNotNull()).groupBy("__range").agg(
+        F.max_by("rate", contacts).alias("last")
+    )
+    # at most one row per range
+    carried = borders.select("__range", F.lag("last").over(Window.orderBy("__range")).alias("carried"))
+    inside = Window.partitionBy("__range").orderBy(contacts)
+    before = F.coalesce(F.lag("rate").over(inside), F.col("carried"))
+    gains = (
+        attach(cut, carried, ["__range"], "left", few=True)
+        .withColumn("marginal", F.col("rate") - before)
+        .select(contacts, "n", "rate", "marginal")
+    )
+    stop = gains.agg(F.min(F.when(F.col("marginal") <= 0, F.col(contacts)))).scalar()
+    return gains.withColumn("first_without_gain", stop)
 
 
 def segment_uplift(

@@ -6,13 +6,57 @@ from runscore.operators import models as M
 from runscore.plans import model_queries as Q
 
 
+def numbers(spark, n=3000, hot=1000):
+    """Pairs of equal numbers; a third of the rows are copies of one."""
+    value = F.when(F.col("id") < hot, F.lit(-1)).otherwise(F.col("id")).cast("double")
+    return spark.range(n).select(value.alias("a"), value.alias("b"))
+
+
 def test_permuted_column_keeps_its_values(spark):
-    rows = spark.range(500).select(
-        F.col("id").cast("double").alias("a"), F.col("id").cast("double").alias("b")
-    )
+    rows = numbers(spark)
     mixed = M.permuted(rows, "a").collect()
-    assert sorted(r["a"] for r in mixed) == sorted(r["b"] for r in mixed)
-    assert sum(r["a"] != r["b"] for r in mixed) > 400
+    assert sorted(r["a"] for r in mixed) == sorted(r["b"] for r in mixed) == sorted(r["a"] for r in rows.collect())
+    # only copies of the hot row can meet their own value, a third of them by chance
+    same = [r["a"] for r in mixed if r["a"] == r["b"]]
+    assert set(same) <= {-1.0} and 230 < len(same) < 440
+
+
+def test_permutation_depends_on_rows_and_seed_only(spark):
+    rows = numbers(spark, 500, 100)
+    seen = []
+    for parts, batch in ((1, 10_000), (7, 10), (3, 100)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        seen.append(sorted(map(tuple, M.permuted(rows.repartition(parts), "a").collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] == seen[2]
+    assert sorted(map(tuple, M.permuted(rows, "a", seed=7).collect())) != seen[0]
+
+
+def test_permutation_is_a_shift_of_a_random_order(spark):
+    rows = spark.range(400).select(F.col("id").cast("double").alias("a"), (-F.col("id")).cast("double").alias("b"))
+    numbered = M.ranked(rows)
+    order = {r["__rank"]: r["a"] for r in numbered.collect()}
+    assert sorted(order) == list(range(400)) and [order[i] for i in range(400)] != sorted(order.values())
+    moved = {-r["b"]: r["a"] for r in M.with_shifted(numbered, "a", 400, 5).collect()}
+    shifts = {(list(order.values()).index(moved[a]) - i) % 400 for i, a in order.items()}
+    place = {a: i for i, a in order.items()}
+    assert len({(place[moved[a]] - i) % 400 for i, a in order.items()}) == 1 and shifts != {0}
+
+
+def test_one_row_and_none_are_permuted(spark):
+    one = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    assert [tuple(r) for r in M.permuted(one, "a").collect()] == [(1.0, 2.0)]
+    assert M.permuted(one.where("false"), "a").count() == 0
+
+
+def test_importance_of_a_feature_that_decides(spark):
+    rows = spark.range(600).select(
+        F.col("id").alias("k"), (F.col("id") % 10).cast("double").alias("x"),
+        F.pmod(F.xxhash64("id"), F.lit(7)).cast("double").alias("noise"), (F.col("id") % 10 >= 5).cast("int").alias("y"),
+    )
+    found = M.feature_importance(rows, M.ModelSpec("y", "k", ("x", "noise"), params={"numTrees": 5}))
+    got = {r["feature"]: r["permutation_importance"] for r in found.collect()}
+    assert got["x"] > 0.3 and abs(got["noise"]) < 0.05
 
 
 def test_forest_finds_the_signal(spark, sf):
@@ -38,8 +82,32 @@ def test_missing_target_is_an_error(spark, sf):
 
 def test_counterfactual_prefers_fewer_changes(spark, sf):
     rows = Q.counterfactuals(spark, sf)
-    worst = rows.agg(F.max("changes"), F.min("changes")).first()
-    assert worst[1] == 1 and worst[0] <= 2
+    worst = rows.agg(F.max("changes"), F.min("changes"), F.count("*"), F.count_distinct("row_key")).first()
+    assert worst[1] == 1 and worst[0] <= 2 and worst[2] == worst[3]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_counterfactuals_equal_the_whole_grid(spark):
+    rows = spark.range(300).select(
+        F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 17).cast("double").alias("a"),
+        (F.col("id") % 13).cast("double").alias("b"), ((F.col("id") % 17) + (F.col("id") % 13) > 14).cast("int").alias("y"),
+    )
+    spec = M.ModelSpec("y", "key", ("a", "b"), model="logistic")
+    split = M.prepare(rows, spec)
+    model = M.fit(split, spec)
+    chosen = model.transform(split.rows).where("prediction = 1.0").select("row_key", "a", "b").persist()
+    edits = [{"a": 4.0, "b": 2.0}, {"a": 9.0}, {"b": 8.0}, {"a": 7.0}, {"a": 0.0, "b": 0.0}]
+    got = {r["row_key"]: (r["changes"], r["edit"]) for r in M.counterfactuals(chosen, model, edits, "row_key", 0.0).collect()}
+    wanted = {}
+    for number, edit in enumerate(edits):
+        changed = chosen.withColumns({n: F.lit(v) for n, v in edit.items()})
+        for r in model.transform(changed).where("prediction = 0.0").collect():
+            best = (len(edit), number)
+            wanted[r["row_key"]] = min(best, wanted.get(r["row_key"], best))
+    assert got == wanted and len({c for c, _ in got.values()}) == 2
+    assert M.counterfactuals(chosen, model, [], "row_key", 0.0).count() == 0
+    chosen.unpersist()
+    split.release()
 
 
 def test_queries_train_whole_models(spark, sf, monkeypatch):

@@ -17,7 +17,7 @@ from runscore.operators.prep import impute, iqr_clip, stratified_split
 from runscore.operators.profile import describe_numeric, quality_report
 from runscore.operators.stats import paired_stats, wilcoxon
 from runscore.operators.summary import delta_boxplot, extreme_tasks, overall_metrics
-from runscore.operators.workload import residual_anomaly, target_top_share
+from runscore.operators.workload import residual_anomaly, response_curve, target_top_share
 
 # published (baseline, feedback) values of the twenty tasks that have them
 DQS = [
@@ -312,3 +312,25 @@ def test_split_of_wide_keys_and_infinite_values(spark):
     table = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "v double")
     found = exact_percentiles(table, "v", {"m": 0.5, "top": 1.0}).first()
     assert (found["m"], found["top"]) == (2.0, float("inf"))
+
+
+def test_response_curve_over_many_counts(spark):
+    contacts = F.col("id") % 20_000
+    rows = spark.range(60_000).select(F.when(F.col("id") > 9, contacts).alias("c"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("y"))
+    found = response_curve(rows, "c", F.col("y"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):  # the only window without a key runs over the borders of the ranges
+        if "Window [" in line and "rate" in line:
+            assert "__range" in line
+    got = {r["c"]: (r["rate"], r["marginal"], r["first_without_gain"]) for r in found.collect()}
+    seen = {}
+    for r in rows.collect():
+        n, k = seen.get(r["c"], (0, 0))
+        seen[r["c"]] = (n + 1, k + r["y"])
+    rates = {c: k / n for c, (n, k) in seen.items()}
+    known = sorted(c for c in rates if c is not None)
+    gains = {c: rates[c] - rates[p] for p, c in zip(known, known[1:])}
+    first = min(c for c, gain in gains.items() if gain <= 0)
+    assert set(got) == set(rates)
+    for c in known:
+        assert got[c] == pytest.approx((rates[c], gains.get(c), first)) if c in gains else got[c][1] is None
