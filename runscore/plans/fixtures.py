@@ -45,20 +45,20 @@ class Template:
 
 TEMPLATES = [
     Template(
-        "Perform EDA: shape, missing values and correlation",
-        "print(df.describe(), df.shape)",
-        "shape (10, 3)",
-        summary="Shape: [10, 3]\nMissing values: {'a': 0, 'b': 0}",
+        "Explore the tide gauges: row count, empty cells and correlation",
+        "print(tides.describe(), tides.shape)",
+        "412 rows, 8 columns",
+        summary="Rows: 412\nMissing values: {'level': 0, 'wind': 0}",
         snippet="import subprocess",
         reply='{"score": 0.9, "summary": "fine", "gaps": []}',
         error="429 retry in 12.5s",
         name="run one_i2",
     ),
     Template(
-        "Plot churn rate and save bar chart",
-        "plt.savefig('rate.png')",
-        "saved",
-        files=("rate.png", "rate.csv", "rate.png"),
+        "Draw the share of late buses as a chart",
+        "plt.savefig('late.png')",
+        "drawn",
+        files=("late.png", "late.csv", "late.png"),
         expected=("png",),
         snippet="eval (x)",
         reply="- [HIGH] metrics: f1 is missing → Print f1\nnot a bullet\n* [low] style: long lines",
@@ -66,9 +66,9 @@ TEMPLATES = [
         name="churn/plot#1",
     ),
     Template(
-        "Plot churn rate and save bar chart",
-        "print('done')",
-        "accuracy=0.9",
+        "Draw the share of late buses as a chart",
+        "print(late.mean())",
+        "accuracy 0.87",
         expected=("png",),
         snippet="open('f','w')",
         reply=(
@@ -79,10 +79,10 @@ TEMPLATES = [
         name="abc123_i0",
     ),
     Template(
-        "Compare models to predict churn and explain with SHAP; report accuracy and f1",
-        "RandomForestClassifier(); LogisticRegression(); train_test_split(X, y, stratify=y); "
+        "Compare classifiers of fraud alerts, explain them by permutation; print accuracy and f1",
+        "wood = RandomForestClassifier(); LogisticRegression(); train_test_split(X, y, stratify=y); "
         "StandardScaler(); permutation_importance(m)",
-        "accuracy=0.91 f1=0.80",
+        "accuracy 0.93, f1 0.71",
         expected=("accuracy", "f1"),
         snippet="os.remove(p)",
         reply="* [medium] analysis: too short",
@@ -90,9 +90,9 @@ TEMPLATES = [
         name="abc123_i10_x",
     ),
     Template(
-        "Compare models to predict churn and explain with SHAP; report accuracy and f1",
+        "Compare classifiers of fraud alerts, explain them by permutation; print accuracy and f1",
         "LogisticRegression()",
-        "accuracy=0.91",
+        "accuracy 0.93",
         expected=("accuracy", "f1"),
         snippet="x = 1",
         reply='{"summary": "", "gaps": [{"message": "vague"}, {"category": "style"}]}',
@@ -100,21 +100,21 @@ TEMPLATES = [
         name="a-b.c_d",
     ),
     Template(
-        "Impute missing Age with median",
-        "df['Age'].fillna(m, inplace=True)",
-        "Missing 'Age' values (initial): 29\nMissing 'Age' values (after imputation): 29",
+        "Fill missing rain gauge values with the mean",
+        "df['mm'].fillna(m, inplace=True)",
+        "Missing mm (initial): 7\nMissing mm (after mean): 7",
         expected=("stdout",),
-        summary="Missing values: {'Age': 29, 'Sex': 0}",
+        summary="Missing values: {'mm': 7, 'site': 0}",
         snippet="shutil.rmtree(p)",
         reply="plain words only",
         error="timeout",
         name="  spaced  name  ",
     ),
     Template(
-        "Clip outliers using IQR and compare RMSE before vs after",
-        "df['x'].quantile(0.25); df_clipped['x'] = df_clipped['x'].clip(0, 8); "
+        "Clip extreme bus delays by IQR and compare RMSE before vs after",
+        "df['delay'].quantile(0.1); df_clipped['delay'] = df_clipped['delay'].clip(0, 90); "
         "train_test_split(df_clipped, y)",
-        "RMSE before: 1.0\nRMSE after: 1.5\nRMSE worsened by 0.5",
+        "RMSE before: 4.0\nRMSE after: 4.5\nRMSE worsened by 0.5",
         expected=("rmse",),
         snippet="  from telnetlib import Telnet",
         reply='{"score": 1.0, "gaps": [{"category": "a", "severity": "low", "message": "b"}]',
@@ -122,10 +122,10 @@ TEMPLATES = [
         name="x" * 150,
     ),
     Template(
-        "Engineer features, encode and train a model",
+        "Engineer inputs, encode the bus lines and train a model",
         "df.drop(columns=['a'], axis=1); df.select_dtypes(include='object')",
         "  \n",
-        "UserWarning: x\nKeyError: 'Age'",
+        "UserWarning: late\nKeyError: 'line'",
         expected=("accuracy",),
         snippet="__import__ ('os')",
         reply="- [low] code: fine → keep\r\n- [medium] code: fine → keep",
@@ -133,7 +133,7 @@ TEMPLATES = [
         name="_i3",
     ),
     Template(
-        "Predict Survived and print Accuracy",
+        "Predict late arrivals and print Accuracy",
         "SVC(); LinearRegression(); df.head()",
         "Accuracy: 0.8\nrecall 0.5",
         "UserWarning: convergence",
@@ -145,18 +145,18 @@ TEMPLATES = [
         name="r_i12",
     ),
     Template(
-        "Handle missing Age with median imputation; check target leakage and validation",
+        "Handle missing depths by imputation; check for target leakage and validation",
         "df.fillna(0)\nX_train['a'] = X_train['a'].clip(0, 1)\ntrain_test_split(X, y)",
-        "Missing Age (initial): 5\nMissing Age (after fill): 0",
-        "ChainedAssignmentError: inplace method never works",
-        summary="Missing values: {'Age': 5, 'Sex': 0}",
+        "Missing depth (initial): 5\nMissing depth (after fill): 0",
+        "ChainedAssignmentError: a copy was changed",
+        summary="Missing values: {'depth': 5, 'salt': 0}",
         snippet="import urllib.request",
         reply="- [medium] analysis: too short\n- [medium] analysis: too short",
         error="Quota exceeded; retry in 20s",
         name="été 1",
     ),
     Template(
-        "Detect outliers using IQR and compare RMSE before vs after clipping",
+        "Find outlier fares by IQR; RMSE before vs after the clip",
         "train_test_split(df, y)\nX_train['a'].quantile(0.25)",
         "RMSE initial: 2\nRMSE clipped: 1\nRMSE improved",
         "FutureWarning: later",
@@ -416,6 +416,12 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "snippet": F.concat("text", F.lit("\n"), "snippet"),
             "reply": F.concat("reply", F.lit("\n"), "text"),
             "error": F.concat("text", F.lit(" "), "error"),
+            "task": F.concat("task", F.lit(" "), "text"),
+            "stderr": F.concat("stderr", F.lit("\n"), "text"),
+            "summary": F.concat("text", F.lit("\n"), "summary"),
+            "name": F.concat("name", F.lit(" "), "text"),
+            "files": F.array_append("files", F.concat("text", F.lit(".png"))),
+            "expected": F.array_append("expected", F.col("text")),
         }
     ).select(fields)
     return runs.unionAll(texts)

@@ -67,9 +67,10 @@ LOG_CTE = f"""logs AS (
     t.summary, t.snippet, t.reply, t.error, t.name
   FROM agent_runs a JOIN run_templates t USING (template)
   UNION ALL
-  SELECT 'doc-' || CAST(d.doc_id AS VARCHAR), t.task, t.code || {text(DOCUMENT_CODE_PREFIX)} || d.text,
-    t.stdout || chr(10) || d.text, t.stderr, t.files, t.expected, t.summary,
-    d.text || chr(10) || t.snippet, t.reply || chr(10) || d.text, d.text || ' ' || t.error, t.name
+  SELECT 'doc-' || CAST(d.doc_id AS VARCHAR), t.task || ' ' || d.text, t.code || {text(DOCUMENT_CODE_PREFIX)} || d.text,
+    t.stdout || chr(10) || d.text, t.stderr || chr(10) || d.text, list_append(t.files, d.text || '.png'),
+    list_append(t.expected, d.text), d.text || chr(10) || t.summary,
+    d.text || chr(10) || t.snippet, t.reply || chr(10) || d.text, d.text || ' ' || t.error, t.name || ' ' || d.text
   FROM documents d JOIN run_templates t ON t.template = d.doc_id % {COUNT})"""
 
 ROUND_CTE = """round_rows AS (

@@ -41,3 +41,12 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+TEXT_RULES = [name for name in sorted(entry_point.queries()) if name[0] == "x" and name[1].isdigit()]
+
+
+@pytest.mark.parametrize("name", TEXT_RULES)
+def test_text_rules_read_the_texts(spark, sf, name):
+    plan = entry_point.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert any("text:string" in line for line in plan.split("\n") if "ReadSchema" in line or "FileScan" in line)
