@@ -1,18 +1,22 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Tokens get the log-odds of toxic against other labelled texts with an
-informative Dirichlet prior (the pooled token counts); tokens whose log-odds is
-not significant, and unknown ones, score a small loss. A linear scan finds all
-maximal scoring segments of a text. Segment scores of clean texts follow an
-extreme-value law whose location grows with the logarithm of the length; its
-fit turns a text's best segments into a length-free evidence, and labelled
-texts held back from the token counts calibrate that evidence as a probability.
+informative Dirichlet prior (the pooled token counts). A token counts if its
+likelihood ratio is higher than chance explains, given how many tokens are
+tried; all others score a small loss. A linear scan finds all maximal scoring
+segments of a text. Segment scores of clean texts follow an extreme-value law
+whose location grows with the logarithm of the length; in its units the
+significant segments of a text are added up (sum statistics of the law), and
+labelled texts turn that evidence into a probability. The evidence of a labelled
+text comes from a model that has not seen its fold, so that every learnable
+label serves the counts as well as the calibration.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,13 @@ from .words import separators, slices, word_hashes
 
 MOST_LABELLED = 200_000  # labelled texts that the model is fitted on at most
 MOST_TOKENS = 100_000  # significant tokens that a model keeps at most
-LEAST_TEXTS = 4  # labelled texts that must hold a token
-LEAST_Z = 3.0
+CHANCE = 6.0  # a token's likelihood ratio may stay so far under 2 ln(tokens): a few tokens get in by chance
 PRIOR_TEXTS = 10.0  # weight of the prior, in texts
 LOSS = 0.7  # of every token without significant log-odds
 HIGHEST_ODDS = 8.0
 NO_SEGMENT = -125.0  # evidence of a text without any toxic token
+LAW_TEXTS = 20.0  # weight of the unit law against the fitted one, in texts
+FOLDS = (0, 1, 3)  # of ids that models may learn from
 EULER = 0.5772156649015329
 _ENDS_TOKEN = separators(extra_ascii_punctuation=True)
 
@@ -87,61 +92,88 @@ class Passages:
         gaps = (-LOSS * (np.diff(hit, prepend=-1) - 1)).tolist()
         return [(int(hit[a]), int(hit[b]), s) for a, b, s in maximal_segments(scores, gaps)]
 
-    def evidence(self, best: float, words: int) -> float:
-        """The best segment's score in units of the law, corrected for length."""
-        return (best - self.location) / self.scale - np.log(max(words, 1))
+    def evidence(self, segments: list[float], words: int) -> float:
+        """Minus the log-probability of the segments' scores in a clean text of that length.
+
+        The scores in units of the law are added up from the highest on; the sum
+        that is least likely by chance counts, each further segment at the price
+        of a factor of two.
+        """
+        if not segments:
+            return NO_SEGMENT
+        length = log(max(words, 1))
+        best, total = -np.inf, 0.0
+        for r, score in enumerate(sorted(segments, reverse=True), 1):
+            total += (score - self.location) / self.scale - length
+            if r == 1:
+                best = total
+            elif total > 0:
+                found = total - (r - 1) * log(total) + lgamma(r + 1) + lgamma(r) - (r - 1) * log(2)
+                best = max(best, found)
+        return max(float(best), NO_SEGMENT + 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return calibrate(evidence, self.edges, self.chances)
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, toxic: in how many texts of each class a token is, per batch."""
+    """Columns text, toxic, fold: in how many texts of each class and fold a token is, per batch."""
+    names = [f"{kind}{fold}" for fold in FOLDS for kind in ("toxic", "other")]
     for batch in batches:
         seen: list[np.ndarray] = []
-        toxic: list[np.ndarray] = []
+        kinds: list[np.ndarray] = []
         for part in slices(batch, 0):
             hashes, bounds, _, _ = word_hashes(part.column(0), _ENDS_TOKEN)
-            for k, label in enumerate(part.column(1).to_pylist()):
+            for k, (label, fold) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                 own = np.unique(hashes[bounds[k] : bounds[k + 1]])
                 seen.append(own)
-                toxic.append(np.full(len(own), label, dtype=np.int64))
+                kinds.append(np.full(len(own), 2 * FOLDS.index(fold) + (not label), dtype=np.int64))
         if not seen:
             continue
         token, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-        label = np.concatenate(toxic)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "token": pa.array(token.view(np.int64)),
-                "toxic": pa.array(np.bincount(inverse, label, len(token)).astype(np.int64)),
-                "other": pa.array(np.bincount(inverse, 1 - label, len(token)).astype(np.int64)),
-            }
-        )
+        kind = np.concatenate(kinds)
+        columns = {"token": pa.array(token.view(np.int64))}
+        for n, name in enumerate(names):
+            columns[name] = pa.array(np.bincount(inverse[kind == n], minlength=len(token)).astype(np.int64))
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], column: int, model_of) -> Iterator[pa.RecordBatch]:
+    """What else each batch has, the scores of each text's segments, and its number of words.
+
+    model_of(batch) gives the model of every row of a slice.
+    """
+    for batch in batches:
+        for part in slices(batch, column):
+            hashes, bounds, _, _ = word_hashes(part.column(column), _ENDS_TOKEN)
+            models = model_of(part)
+            known = np.isin(hashes, np.unique(np.concatenate([m.tokens[m.odds > LOSS] for m in {id(m): m for m in models}.values()])))
+            hits = np.diff(np.concatenate([[0], np.cumsum(known)])[bounds])
+            found = [
+                [s for _, _, s in models[k].segments(hashes[bounds[k] : bounds[k + 1]])] if hits[k] else []
+                for k in range(len(part))
+            ]
+            rest = [c for i, c in enumerate(part.columns) if i != column]
+            names = [n for i, n in enumerate(part.schema.names) if i != column]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(found, pa.list_(pa.float64())), pa.array(np.diff(bounds))], names=[*names, "segments", "words"]
+            )
 
 
 def _best(model: Passages, column: int):
-    """Appends evidence and best segment of each text to what else the batch has."""
+    """Appends evidence, best segment and number of segments of each text to what else the batch has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, column):
-                hashes, bounds, _, _ = word_hashes(part.column(column), _ENDS_TOKEN)
-                known = np.isin(hashes, model.tokens[model.odds > LOSS])
-                total = np.concatenate([[0], np.cumsum(known)])
-                hits = total[bounds[1:]] - total[bounds[:-1]]
-                evidence, best, count = [], [], []
-                for k in range(len(part)):
-                    found = model.segments(hashes[bounds[k] : bounds[k + 1]]) if hits[k] else []
-                    top = max((s for _, _, s in found), default=0.0)
-                    best.append(top)
-                    count.append(len(found))
-                    evidence.append(model.evidence(top, int(bounds[k + 1] - bounds[k])) if found else NO_SEGMENT)
-                rest = [c for i, c in enumerate(part.columns) if i != column]
-                names = [n for i, n in enumerate(part.schema.names) if i != column]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(evidence, pa.float64()), pa.array(best, pa.float64()), pa.array(count, pa.int32())],
-                    names=[*names, "evidence", "best_segment", "segments"],
-                )
+        for part in _segments(batches, column, lambda rows: [model] * len(rows)):
+            found, words = part.column("segments").to_pylist(), part.column("words").to_pylist()
+            evidence = [model.evidence(s, n) for s, n in zip(found, words)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.columns[:-2], pa.array(evidence, pa.float64()),
+                    pa.array([max(s, default=0.0) for s in found], pa.float64()), pa.array([len(s) for s in found], pa.int32()),
+                ],
+                names=[*part.schema.names[:-2], "evidence", "best_segment", "segments"],
+            )
 
     return run
 
@@ -163,6 +195,50 @@ def labelled_sample(labels: DataFrame, label: str, most: int, id_col: str = "doc
     return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def _log_odds(counts: DataFrame, folds: tuple[int, ...], sizes: dict[tuple[int, int], int]) -> Passages:
+    """Tokens whose presence goes with toxic texts of the folds, with their log-odds; action."""
+    toxic = float(sum(sizes.get((f, 1), 0) for f in folds))
+    other = float(sum(sizes.get((f, 0), 0) for f in folds))
+    model = Passages(np.zeros(0, np.uint64), np.zeros(0), edges=np.zeros(1), chances=np.zeros(1))
+    if not toxic or not other:
+        return model
+    held = counts.select(
+        "token",
+        sum((F.col(f"toxic{f}") for f in folds), F.lit(0)).cast("double").alias("a"),
+        sum((F.col(f"other{f}") for f in folds), F.lit(0)).cast("double").alias("b"),
+    ).where("a + b > 0")
+    tokens = held.count()
+    whole, all_texts = F.col("a") + F.col("b"), toxic + other
+
+    def term(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    # likelihood ratio of two rates against one
+    ratio = 2 * (
+        term(F.col("a"), whole * toxic / all_texts)
+        + term(F.col("b"), whole * other / all_texts)
+        + term(toxic - F.col("a"), (all_texts - whole) * toxic / all_texts)
+        + term(other - F.col("b"), (all_texts - whole) * other / all_texts)
+    )
+    pooled = PRIOR_TEXTS * whole / all_texts
+    in_toxic, in_other = F.col("a") + pooled, F.col("b") + pooled
+    odds = F.log(in_toxic / (toxic + PRIOR_TEXTS - in_toxic)) - F.log(in_other / (other + PRIOR_TEXTS - in_other))
+    chosen = (
+        held.where(F.col("a") * other > F.col("b") * toxic)
+        .withColumns({"ratio": ratio, "odds": odds})
+        .where(F.col("ratio") >= 2 * log(max(tokens, 1)) - CHANCE)
+        .orderBy(F.desc("ratio"), "token")
+        .limit(MOST_TOKENS)
+        .select("token", "odds")
+        .toPandas()
+    )
+    hashes = chosen["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    model.tokens = hashes[order]
+    model.odds = np.clip(chosen["odds"].to_numpy(np.float64)[order], -HIGHEST_ODDS, HIGHEST_ODDS)
+    return model
+
+
 def fit_passages(
     documents: DataFrame,
     labels: DataFrame,
@@ -170,68 +246,71 @@ def fit_passages(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Passages:
-    """Fit token log-odds on folds 0 and 1, the law and the calibration on fold 3; action.
+    """Fit token log-odds, law and calibration on folds 0, 1 and 3 by cross-fitting; action.
 
     At most about MOST_LABELLED labelled texts are read, by a broadcast of
-    their ids. Without labels of both classes every text scores 0.
+    their ids. Without labels of both classes every text scores 0; without
+    them in a fold and in the rest alike, the same. Null texts count as empty,
+    repeated rows as often as they come.
     """
+    spark = documents.sparkSession
     sample = labelled_sample(labels, label, MOST_LABELLED)
     texts = documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     ).join(F.broadcast(sample), "doc_id")
-    sizes = {r["label"]: r["n"] for r in sample.where("fold != 3").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    toxic, other = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    model = Passages(np.zeros(0, np.uint64), np.zeros(0), edges=np.zeros(1), chances=np.zeros(1))
-    if not toxic or not other:
-        return model
-    counts = (
-        texts.where("fold != 3")
-        .select("text", F.col("label").cast("long"))
-        .mapInArrow(_token_counts, "token long, toxic long, other long")
+    scratch = Scratch(spark, "toxic-passages")
+    sizes = {
+        (r["fold"], r["label"]): r["n"]
+        for r in texts.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()
+    }
+    names = [f"{kind}{fold}" for fold in FOLDS for kind in ("toxic", "other")]
+    counts = scratch.keep(
+        texts.select("text", F.col("label").cast("long"), F.col("fold").cast("long"))
+        .mapInArrow(_token_counts, "token long, " + ", ".join(f"{n} long" for n in names))
         .groupBy("token")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .where(F.col("toxic") + F.col("other") >= LEAST_TEXTS)
+        .agg(*[F.sum(n).alias(n) for n in names]),
+        "counts",
     )
-    pooled = PRIOR_TEXTS * (F.col("toxic") + F.col("other")) / (toxic + other)
-    in_toxic, in_other = F.col("toxic") + pooled, F.col("other") + pooled
-    odds = F.log(in_toxic / (toxic + PRIOR_TEXTS - in_toxic)) - F.log(in_other / (other + PRIOR_TEXTS - in_other))
-    chosen = (
-        counts.withColumn("odds", odds)
-        .withColumn("z", F.col("odds") / F.sqrt(1 / in_toxic + 1 / in_other))
-        .where(F.abs("z") >= LEAST_Z)
-        .orderBy(F.abs("z").desc(), "token")
-        .limit(MOST_TOKENS)
-        .select("token", "odds")
-        .toPandas()
+    model = _log_odds(counts, FOLDS, sizes)
+    if not len(model.tokens):
+        scratch.drop("counts")
+        return model
+    without = spark.sparkContext.broadcast(
+        {f: _log_odds(counts, tuple(g for g in FOLDS if g != f), sizes) for f in FOLDS}
     )
-    tokens = chosen["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    model.tokens = tokens[order]
-    model.odds = np.clip(chosen["odds"].to_numpy(np.float64)[order], -HIGHEST_ODDS, HIGHEST_ODDS)
-    scratch = Scratch(documents.sparkSession, "toxic-passages")
-    held = (
-        texts.where("fold = 3")
-        .select(F.col("label").cast("long"), "text")
-        .mapInArrow(_best(model, 1), "label long, evidence double, best_segment double, segments int")
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _segments(batches, 2, lambda rows: [without.value[f] for f in rows.column(1).to_pylist()])
+
+    held = scratch.keep(
+        texts.select(F.col("label").cast("long"), F.col("fold").cast("long"), "text")
+        .mapInArrow(crossed, "label long, fold long, segments array<double>, words long"),
+        "held",
     )
-    held = scratch.keep(held, "held")
-    # with unit scale and no location, evidence is best_segment - ln(words): the moments of clean texts give the law
-    clean = held.where("label = 0 and segments > 0").agg(
-        F.avg("evidence").alias("mean"), F.stddev_pop("evidence").alias("sd"), F.count("*").alias("n")
+    # in clean texts the best segment less ln(words) follows the law; its moments are shrunk to the unit law's
+    best = F.array_max("segments") - F.log(F.greatest("words", F.lit(1)))
+    clean = held.where("label = 0 and size(segments) > 0").agg(
+        F.avg(best).alias("mean"), F.stddev_pop(best).alias("sd"), F.count("*").alias("n")
     ).first()
-    if clean["n"] > 20 and clean["sd"]:
-        model.scale = float(clean["sd"]) * np.sqrt(6) / np.pi
-        model.location = float(clean["mean"]) - EULER * model.scale
-    fitted = (F.col("best_segment") - model.location) / model.scale - (F.col("best_segment") - F.col("evidence"))
-    bin_ = F.when(F.col("segments") > 0, F.round(F.least(F.greatest(fitted, F.lit(-100.0)), F.lit(100.0)) * 4))
+    n, spread = clean["n"], (clean["sd"] or 0.0) * np.sqrt(6) / np.pi
+    model.scale = float((n * spread + LAW_TEXTS) / (n + LAW_TEXTS))
+    model.location = float(n * ((clean["mean"] or 0.0) - EULER * model.scale) / (n + LAW_TEXTS))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.evidence(s, w) for s, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["label", "evidence"])
+
     bins = (
-        held.withColumn("bin", F.coalesce(bin_, F.lit(NO_SEGMENT * 4)))
-        .groupBy("bin")
+        held.select("label", "segments", "words")
+        .mapInArrow(weighed, "label long, evidence double")
+        .groupBy(F.round(F.greatest(F.least("evidence", F.lit(100.0)), F.lit(NO_SEGMENT)) * 4).alias("bin"))
         .agg(F.count("*").alias("n"), F.sum("label").alias("positive"))
         .toPandas()
         .sort_values("bin")
     )
-    scratch.drop("held")
+    without.unpersist()
+    scratch.drop("counts", "held")
     model.edges, model.chances = isotonic_blocks(
         bins["bin"].to_numpy(float) / 4, bins["n"].to_numpy(float), bins["positive"].to_numpy(float)
     )
@@ -278,7 +357,7 @@ def toxic_spans(documents: DataFrame, model: Passages, id_col: str = "doc_id", t
                     raw = (text or "").encode()
                     a, b = bounds[k], bounds[k + 1]
                     for i, j, s in fitted.segments(hashes[a:b]):
-                        if fitted.score(np.array([fitted.evidence(s, int(b - a))]))[0] >= least:
+                        if fitted.score(np.array([fitted.evidence([s], int(b - a))]))[0] >= least:
                             begin, stop = int(first[a + i]) - at, int(end[a + j]) - at
                             out.append((doc, begin, stop, s, raw[begin:stop].decode()))
                     at += len(raw)

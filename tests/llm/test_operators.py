@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from runscore.llm import leakage, metric_tree, near_copies, words
+from runscore.llm import leakage, metric_tree, near_copies, toxic_passages, words
 from runscore.llm.chat import chat_digests, format_chats, read_chats
 from runscore.llm.fuzzy_lines import line_groups, without_repeated_lines
 from runscore.llm.isotonic import calibrate, isotonic_blocks
@@ -297,8 +297,64 @@ def test_held_out_accuracy(spark, name):
     path = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{path}/labels.parquet")
     rows = JOBS[name](spark, path).join(labels, "doc_id").where("held_out").toPandas()
-    right = (rows["predicted"] == rows["quality" if name == "op1_quality" else "toxic"]).mean()
-    assert right > 0.93
+    positive = rows["quality" if name == "op1_quality" else "toxic"] == 1
+    # the two kinds of rows apart, as nine in ten texts are not toxic
+    assert rows["predicted"][positive].mean() >= 0.85
+    assert 1 - rows["predicted"][~positive].mean() >= 0.95
+
+
+def test_evidence_adds_up_significant_segments():
+    model = Passages(np.zeros(0, np.uint64), np.zeros(0), 2.0, 1.0)
+    one = model.evidence([9.0], 10)
+    assert one == pytest.approx((9.0 - 1.0) / 2.0 - np.log(10))
+    assert model.evidence([9.0, 9.0, 9.0], 10) > one  # further significant segments count
+    assert model.evidence([9.0, 0.5, 0.2], 10) == pytest.approx(one)  # weak ones change nothing
+    assert model.evidence([9.0], 1000) < one and model.evidence([], 10) == toxic_passages.NO_SEGMENT
+    assert model.evidence([0.1], 10**9) > toxic_passages.NO_SEGMENT
+
+
+def toxic_corpus(spark, n=240):
+    random.seed(8)
+    plain = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        words_ = random.choices(plain, k=random.choice([8, 40, 150]))
+        if bad:
+            at = random.randrange(len(words_))
+            words_[at:at] = ["vile", random.choice(["scum", "rot"]), "vile"]
+        rows.append((i, " ".join(words_), "s", 0.0))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_cross_fitted_toxicity(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxic_passages.fit_passages(docs, labels)
+    known = set(words.word_hashes(pa.array(["vile scum rot"]))[0].tolist())
+    assert known <= set(model.tokens.tolist()) and len(model.tokens) <= 8  # a few more by chance
+    scores = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model).collect()}
+    toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
+    assert all((scores[i] >= 0.3) == (i in toxic) for i in scores)
+    # held-out texts and labels play no part
+    changed = labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 <> 2")
+    again = toxic_passages.fit_passages(docs, changed)
+    assert (again.tokens == model.tokens).all() and (again.odds == model.odds).all()
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs, labels = toxic_corpus(spark, 60)
+    nothing = docs.where("false")
+    for d, l in ((nothing, labels), (docs, labels.where("false")), (docs, labels.where("toxic = 0")), (docs, labels.where("toxic = 1"))):
+        model = toxic_passages.fit_passages(d, l)
+        assert {r["score"] for r in score_toxicity(docs, model).collect()} == {0.0}
+        assert without_toxic(docs, model).count() == 60
+    model = toxic_passages.fit_passages(docs.union(docs), labels.union(labels.selectExpr("NULL", "toxic")))
+    odd = spark.createDataFrame([(None, None, "a", 0.0), (7, "", "a", 0.0), (7, "vile " * 50_000, "a", 0.0), (7, "vile " * 50_000, "a", 0.0)], DOCS)
+    clash = odd.selectExpr("doc_id", "text", "source AS evidence", "score AS segments", "1 AS words", "2 AS label", "3 AS fold")
+    scores = [r["score"] for r in score_toxicity(clash, model).collect()]
+    assert scores[0] == scores[1] < 0.3 and scores[2] == scores[3] >= 0.3
+    assert without_toxic(clash, model).columns == clash.columns and without_toxic(clash, model).count() == 2
 
 
 def test_pipeline_stages(spark):
