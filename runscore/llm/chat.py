@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns are ordered per conversation, adjacent turns of one role share a block,
-and blocks are concatenated:
+The turns of a conversation are collected and sorted; an array aggregation
+merges adjacent turns of one role into a block, another one adds up where each
+text begins, and the pieces of all blocks are concatenated:
 
     <|im_start|>role
     text<|im_turn|>text of the next turn of that role<|im_end|>
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 START, TURN, END = "<|im_start|>", "<|im_turn|>", "<|im_end|>\n"
 
@@ -37,51 +37,80 @@ def unescaped_role(role: Column) -> Column:
     return unescaped(F.replace(role, F.lit("<\\n>"), F.lit("\n")))
 
 
+_BLOCKS = "array<struct<role:string,texts:array<string>>>"
+_SPANS = "struct<at:bigint,spans:array<struct<start:bigint,bytes:bigint>>>"
+
+
+def merged_turns(turns: Column) -> Column:
+    """Blocks (role, texts) of an ordered array of turns: adjacent turns of one role share a block."""
+
+    def add(blocks: Column, turn: Column) -> Column:
+        last = F.get(blocks, F.size(blocks) - 1)
+        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
+        own = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
+        same = F.coalesce(last["role"] == turn["role"], F.lit(False))
+        kept = F.when(same, F.slice(blocks, 1, F.size(blocks) - 1)).otherwise(blocks)
+        return F.concat(kept, F.array(F.when(same, grown).otherwise(own))).cast(_BLOCKS)
+
+    return F.aggregate(turns, F.array().cast(_BLOCKS), add)
+
+
+def block_pieces(block: Column, trained_role: str) -> Column:
+    """One piece per text of a block: head, body, tail and whether it is trained on."""
+    last = F.size(block["texts"]) - 1
+    opening = F.concat(F.lit(START), escaped_role(block["role"]), F.lit("\n"))
+    return F.transform(
+        block["texts"],
+        lambda text, i: F.struct(
+            F.when(i == 0, opening).otherwise(F.lit(TURN)).alias("head"),
+            escaped(text).alias("body"),
+            F.when(i == last, F.lit(END)).otherwise(F.lit("")).alias("tail"),
+            (block["role"] == trained_role).alias("trained"),
+        ),
+    )
+
+
+def trained_spans(pieces: Column) -> Column:
+    """Byte spans of the bodies that are trained on, in the joined pieces."""
+
+    def add(done: Column, piece: Column) -> Column:
+        begin = done["at"] + F.octet_length(piece["head"])
+        body = F.octet_length(piece["body"]).cast("long")
+        span = F.array(F.struct(begin.alias("start"), body.alias("bytes")))
+        return F.struct(
+            (begin + body + F.octet_length(piece["tail"])).alias("at"),
+            F.when(piece["trained"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"),
+        ).cast(_SPANS)
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().alias("spans")).cast(_SPANS)
+    return F.aggregate(pieces, start, add)["spans"]
+
+
 def format_chats(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans(start, bytes) of every conversation.
 
     Turns are ordered by turn (null first), then role and text; repeated rows
     stay repeated. Null roles and texts count as empty; rows with null conv_id
-    form one conversation. Other columns are not read.
+    form one conversation. Other columns are not read. The turns of one
+    conversation meet in one array, as its formatted text is one value.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    begins = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
-    ends = F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True))
-    pieces = rows.select(
-        "conv_id",
-        "role",
-        F.row_number().over(order).alias("n"),
-        F.when(begins, F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))).otherwise(F.lit(TURN)).alias("head"),
-        escaped(F.col("text")).alias("body"),
-        F.when(ends, F.lit(END)).otherwise(F.lit("")).alias("tail"),
+        F.struct(
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        ).alias("said"),
     )
-    size = F.octet_length("head") + F.octet_length("body") + F.octet_length("tail")
-    reach = F.sum(size.cast("long")).over(
-        Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    blocks = turns.select("conv_id", merged_turns(F.col("turns")).alias("blocks"))
+    pieces = blocks.select(
+        "conv_id", F.flatten(F.transform("blocks", lambda b: block_pieces(b, trained_role))).alias("pieces")
     )
-    placed = pieces.select(
+    return pieces.select(
         "conv_id",
-        "n",
-        F.concat("head", "body", "tail").alias("piece"),
-        (F.col("role") == trained_role).alias("trained"),
-        (reach - F.octet_length("tail") - F.octet_length("body")).alias("start"),
-        F.octet_length("body").cast("long").alias("bytes"),
-    )
-    turns = placed.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("n", "piece", "trained", "start", "bytes"))).alias("turns")
-    )
-    return turns.select(
-        "conv_id",
-        F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
-        F.transform(
-            F.filter("turns", lambda t: t["trained"]), lambda t: F.struct(t["start"].alias("start"), t["bytes"].alias("bytes"))
-        ).alias("loss_spans"),
+        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
+        trained_spans(F.col("pieces")).alias("loss_spans"),
     )
 
 
