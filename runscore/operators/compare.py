@@ -341,14 +341,18 @@ def comparison_log(runs: DataFrame, *, logged_at: Column | None = None, **latest
             for source, suffix in (("baseline", "baseline"), ("feedback_loop", "feedback"))
         ]
     )
-    files = pair_runs(runs, **latest).select(
-        "task_id",
-        F.col("b.file_name").alias("baseline_file"),
-        F.col("f.file_name").alias("feedback_file"),
+
+    def of(mode: str, value: Column) -> Column:
+        return F.max(F.when(F.col("mode") == mode, value))
+
+    # a paired task has one run per mode
+    files = paired_runs_long(runs, **latest).groupBy("task_id").agg(
+        of(BASELINE, F.col("file_name")).alias("baseline_file"),
+        of(FEEDBACK, F.col("file_name")).alias("feedback_file"),
         F.concat(F.lit("comparison_metrics_"), F.col("task_id"), F.lit(".csv")).alias(
             "output_file"
         ),
-        F.col("f.evaluation.decision_evaluation.confidence").alias("decision_critic_confidence"),
+        of(FEEDBACK, F.col("evaluation")["decision_evaluation"]["confidence"]).alias("decision_critic_confidence"),
     )
     stamp = F.current_timestamp() if logged_at is None else logged_at
     return (

@@ -152,16 +152,15 @@ def pair_bins(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -
     """
     rows = pair_sample(df, columns)
     columns = rows.columns
-    binned = rows.select(
-        *[
-            equal_width_bin(
-                F.col(c).cast("double"),
-                rows.agg(F.min(F.col(c).cast("double"))).scalar(),
-                rows.agg(F.max(F.col(c).cast("double"))).scalar(),
-                bins,
-            ).alias(c)
-            for c in columns
-        ]
+    numbers = {c: F.col(c).cast("double") for c in columns}
+    edges = rows.agg(
+        *[F.min(v).alias(f"low_{c}") for c, v in numbers.items()],
+        *[F.max(v).alias(f"high_{c}") for c, v in numbers.items()],
+        F.lit(0).alias("__one"),
+    )
+    bounded = attach(rows.withColumn("__one", F.lit(0)), edges, ["__one"], few=True)
+    binned = bounded.select(
+        *[equal_width_bin(v, F.col(f"low_{c}"), F.col(f"high_{c}"), bins).alias(c) for c, v in numbers.items()]
     )
     cells = F.explode(
         F.array(

@@ -112,10 +112,10 @@ def leaderboard(pairs: DataFrame) -> DataFrame:
     return attach(board, ahead, ["ORS_Delta"], "left").orderBy(F.col("ORS_Delta").desc(), F.col("task_id"))
 
 
-def _ranked(pairs: DataFrame, best: bool = True) -> DataFrame:
+def _ranked(pairs: DataFrame) -> DataFrame:
     delta = F.coalesce(F.col("delta"), F.lit(0.0)).alias("delta")
     values = pairs.select("metric", "task_id", delta)
-    order = F.col("delta").desc() if best else F.col("delta").asc()
+    order = F.col("delta").desc()
     return values.withColumn(
         "position",
         F.row_number().over(Window.partitionBy("metric").orderBy(order, "task_id")),
@@ -202,20 +202,27 @@ def dataset_ranking(pairs: DataFrame) -> DataFrame:
 
 
 def case_studies(pairs: DataFrame) -> DataFrame:
-    """Representative tasks: best ORS, DQS and FIS gain and largest ORS loss."""
-
-    def pick(metric: str, best: bool, category: str) -> DataFrame:
-        ranked = _ranked(pairs.where(F.col("metric") == metric), best)
-        return ranked.where(F.col("position") == 1).select(
-            F.lit(category).alias("category"), "task_id", "delta"
-        )
+    """Representative tasks: best ORS, DQS and FIS gain and largest ORS loss; one pass over the pairs."""
+    delta = F.coalesce(F.col("delta"), F.lit(0.0))
 
-    return (
-        pick("ORS", True, "highest_ors_improvement")
-        .union(pick("DQS", True, "highest_dqs_improvement"))
-        .union(pick("FIS", True, "highest_fis_improvement"))
-        .union(pick("ORS", False, "largest_degradation"))
+    def first(metric: str, key: Column) -> Column:
+        entry = F.struct(key.alias("key"), F.col("task_id"), delta.alias("delta"))
+        return F.min(F.when(F.col("metric") == metric, entry))
+
+    picks = {
+        "highest_ors_improvement": first("ORS", -delta),
+        "highest_dqs_improvement": first("DQS", -delta),
+        "highest_fis_improvement": first("FIS", -delta),
+        "largest_degradation": first("ORS", delta),
+    }
+    row = pairs.agg(*[pick.alias(name) for name, pick in picks.items()])
+    found = F.array(
+        *[
+            F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("category"), f"{name}.task_id", f"{name}.delta"))
+            for name in picks
+        ]
     )
+    return row.select(F.explode(F.array_compact(found)).alias("pick")).select("pick.*")
 
 
 def case_study_rows(pairs: DataFrame) -> DataFrame:

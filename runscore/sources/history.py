@@ -130,21 +130,25 @@ def change_buckets(
     keys: list[str],
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     buckets: int = BUCKETS,
+    *,
+    repeats: bool = True,
 ) -> list[int]:
     """Merge a batch into the state before ``version`` and write what changed as it (action).
 
     Rows that are stored already, equal in every column, are repeats: they are
-    dropped, and a bucket that gets nothing else is not rewritten. Returns the
-    buckets written.
+    dropped, and a bucket that gets nothing else is not rewritten. With
+    ``repeats=False`` the batch is known to hold none. Returns the buckets
+    written.
     """
     spark = batch.sparkSession
     columns = batch.columns
-    placed = _bucketed(batch.dropDuplicates(), keys, buckets).persist()
+    placed = _bucketed(batch.dropDuplicates() if repeats else batch, keys, buckets).persist()
     touched = {r["bucket"] for r in placed.select("bucket").distinct().collect()}
     state = load_buckets(spark, path, version - 1, touched) if touched else None
-    if state is None:
-        fresh, changed, table = placed, touched, batch.dropDuplicates()
-    else:
+    fresh, changed, table = placed, touched, placed.drop("bucket")
+    if state is not None and not repeats:
+        table = merge(state.select(*columns), table)
+    elif state is not None:
         state = state.select(*columns)
         mark = row_fingerprint(columns)
         stored = state.select(*mark)

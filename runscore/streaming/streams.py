@@ -86,7 +86,10 @@ def stream_windows(windows: DataFrame, keys: list[str], path: str, checkpoint: s
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        change_buckets(batch, path, batch_id + 1, keys, lambda state, new: replace_rows(state, new, keys))
+        # update mode brings changed windows only, each once
+        change_buckets(
+            batch, path, batch_id + 1, keys, lambda state, new: replace_rows(state, new, keys), repeats=False
+        )
 
     return (
         windows.writeStream.outputMode("update")
