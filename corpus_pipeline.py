@@ -53,7 +53,7 @@ STAGES = [
     ("token_files", tokenized),
 ]
 
-ORACLE_SQL = None  # no stage but the last two could be written in SQL; tests hold run() against brute force
+ORACLE_SQL = None  # only the last two stages could be written in SQL; tests hold single operators against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
