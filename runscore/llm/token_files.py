@@ -11,11 +11,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +27,20 @@ from pyspark.sql.window import Window
 from .store import shuffles_released
 from .words import slices
 
-CACHED_WORDS = 80_000  # words of one generation; a Python worker remembers two, so words in use stay
+CACHED_WORDS = 160_000  # pieces of one generation; a Python worker remembers two, so pieces in use stay
+CACHED_UNITS = 80_000
 LONGEST_CACHED = 64  # characters
-JOINED_CHARS = 100_000  # unknown words are encoded together in texts of this length
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r" \s|[^\S ] |^ | $")
+# fixed values: how byte-level BPE cuts a text before merging, and how it writes bytes as characters
+_UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {byte: 256 + i for i, byte in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_SPACE = chr(_WRITTEN[32])
+# Latin, Greek and Cyrillic: their letters and digits are the same in every Unicode version in use
+_SETTLED = "\u0500"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -39,9 +48,11 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, word by word where that is the same.
 
     A byte-level BPE never joins across one space between two non-spaces, so a
-    text falls into pieces there, each beginning with its space, and repeated
-    pieces are encoded once. Texts with special tokens, and tokenizers that
-    work otherwise, are encoded whole.
+    text falls into pieces there, each beginning with its space. A piece falls
+    further into the units that the library's own first cut makes; the model of
+    the library encodes each unit, and repeated units and pieces once. Texts
+    with special tokens, pieces in scripts whose letters differ between Unicode
+    versions, and tokenizers that work otherwise, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -51,6 +62,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [x["content"] for x in rules.get("added_tokens") or []]
         pre = rules.get("pre_tokenizer") or {}
         self.by_word = (
@@ -61,10 +73,7 @@ class WordEncoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
         )
-        names = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
-        for name, number in names.items():
-            self.spaced[number] = name.startswith("Ġ")  # how byte-level vocabularies write a space
+        self.units: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -72,49 +81,64 @@ class WordEncoder:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        at = 0
-        while at < len(pieces):
-            stop, chars = at, 0
-            while stop < len(pieces) and chars < JOINED_CHARS:
-                chars += len(pieces[stop]) + 1
-                stop += 1
-            raw = self.whole(" " + " ".join(pieces[at:stop]))
-            begins = (np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]) * 4).tolist()
-            if len(begins) != stop - at:
-                raise ValueError("the vocabulary does not begin words as expected")
-            for piece, a, b in zip(pieces[at:stop], begins, begins[1:] + [len(raw)]):
-                self.known[piece] = raw[a:b]
-            at = stop
+    def _unit(self, unit: str) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            if unit[0] == " " and unit.isascii() and unit[1:].isalpha():
+                written = _SPACE + unit[1:]
+            else:
+                written = unit.encode().decode("latin-1").translate(_WRITTEN)
+            numbers = [t.id for t in self.model.tokenize(written)]
+            ids = self.units[unit] = struct.pack(f"<{len(numbers)}I", *numbers)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece and the space before it; the piece neither begins nor ends with white space."""
+        if len(piece) > LONGEST_CACHED or not (piece.isascii() or max(piece) < _SETTLED):
+            return self.whole(" " + piece)
+        if piece.isalpha():
+            return self._unit(" " + piece)
+        word, last = piece[:-1], piece[-1]
+        if last in ",.;:!?" and word.isalpha():
+            return self._unit(" " + word) + self._unit(last)
+        return b"".join(map(self._unit, _UNITS.findall(" " + piece)))
+
+    def _learn(self, pieces: set[str]) -> None:
+        for piece in pieces:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                continue
+            ids = self.older.get(piece)
+            if ids is None and len(piece) <= LONGEST_CACHED:
+                ids = self._piece(piece)
+            if ids is not None:
+                self.known[piece] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self.whole(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.older, self.known = self.known, {}
-        known = self.known
-        split: list[list[str] | None] = []
-        unknown: set[str] = set()
-        for text in texts:
-            if any(s in text for s in self.special):
-                split.append(None)
-                continue
-            pieces = _BOUNDARY.split(text) if _UNEVEN.search(text) else text.split(" ")
-            split.append(pieces)
-            unknown.update(p for p in pieces[1:] if p not in known)
-        known.update((p, self.older[p]) for p in unknown if p in self.older)
-        self._learn([p for p in unknown if p not in known and len(p) <= LONGEST_CACHED and " " not in p])
-        out = []
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(self.whole(text))
-                continue
-            parts = [self.whole(pieces[0])] if pieces[0] else []
-            for piece in pieces[1:]:
-                ids = known.get(piece)
-                parts.append(self.whole(" " + piece) if ids is None else ids)
-            out.append(b"".join(parts))
-        return out
+        if len(self.units) > CACHED_UNITS:
+            self.units = {}
+        split = [None if any(s in text for s in self.special) else text.split(" ") for text in texts]
+        for pieces in split:
+            if pieces is not None:
+                self._learn(set(pieces).difference(self.known))
+        return [self.whole(t) if p is None else self._joined(t, p) for t, p in zip(texts, split)]
+
+    def _joined(self, text: str, pieces: list[str]) -> bytes:
+        first = self.whole(pieces[0]) if pieces[0] else b""
+        try:
+            if pieces[0] and not pieces[0][-1].isspace():
+                return first + b"".join(map(self.known.__getitem__, islice(pieces, 1, None)))
+        except KeyError:
+            pass  # a long piece, or more white space than one space
+        first, *rest = _BOUNDARY.split(text)
+        parts = [self.whole(first)]
+        for piece in rest:
+            ids = self.known.get(piece)
+            parts.append(self.whole(" " + piece) if ids is None else ids)
+        return b"".join(parts)
 
 
 def _encoder(path: str) -> WordEncoder:

@@ -6,9 +6,11 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from runscore.llm import leakage, metric_tree, near_copies, toxic_passages, words
@@ -18,7 +20,7 @@ from runscore.llm.isotonic import calibrate, isotonic_blocks
 from runscore.llm.mixture import fly, land, mix_plan, mixed
 from runscore.llm.queries import END_ID, JOBS, TOKENIZER
 from runscore.llm.shards import shard_documents
-from runscore.llm.token_files import WordEncoder, read_tokens, token_digests, write_token_files
+from runscore.llm.token_files import ROW_GROUP_BYTES, WordEncoder, read_tokens, token_digests, write_token_files
 from runscore.llm.toxic_passages import Passages, maximal_segments, score_toxicity, without_toxic
 
 DOCS = "doc_id long, text string, source string, score double"
@@ -151,6 +153,36 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert read_tokens(spark, path, 3, 5).count() == 3
 
 
+def test_token_file_layout(spark, tmp_path):
+    texts = [(i, " ".join(f"w{(i * j) % 50}" for j in range(200))) for i in range(4000)]
+    path = str(tmp_path / "tokens")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # the table is small, but several files are wanted
+    spark.conf.set(coalesce, "false")
+    try:
+        write_token_files(spark.createDataFrame(texts, "doc_id long, text string").repartition(7), path, TOKENIZER, END_ID)
+    finally:
+        spark.conf.unset(coalesce)
+    files = sorted(str(p) for p in Path(path).glob("*.parquet"))
+    lows = []
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        for number in range(meta.num_row_groups):
+            group = meta.row_group(number)
+            assert group.total_byte_size <= ROW_GROUP_BYTES + (8 << 20)
+            columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert "RLE_DICTIONARY" in ids.encodings
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+            assert "DELTA_BINARY_PACKED" in columns["start_in_part"].encodings
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values() if c is not ids)
+            lows.append((columns["doc_id"].statistics.min, columns["doc_id"].statistics.max))
+    assert len(lows) > 1 and all(a[1] < b[0] for a, b in zip(sorted(lows), sorted(lows)[1:]))
+    few = read_tokens(spark, path, 100, 109)
+    assert [r["doc_id"] for r in few.orderBy("doc_id").collect()] == list(range(100, 110))
+    plan = few.select("doc_id", "start")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and "ids:array" not in plan
+
+
 def test_mixture_reaches_targets(spark, docs):
     plan = mix_plan(docs).toPandas()
     assert len(plan) == docs.count() and plan["copies"].max() <= 3
