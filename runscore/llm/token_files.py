@@ -11,8 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .store import shuffles_released
 from .words import slices
 
-CACHED_WORDS = 160_000  # pieces of one generation; a Python worker remembers two, so pieces in use stay
+CACHED_WORDS = 400_000  # pieces of one generation; a Python worker remembers two, so pieces in use stay
 CACHED_UNITS = 80_000
 LONGEST_CACHED = 64  # characters
 ROW_GROUP_BYTES = 32 << 20
@@ -38,7 +38,8 @@ _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _WRITTEN = {byte: 256 + i for i, byte in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
-_SPACE = chr(_WRITTEN[32])
+_BYTES = [chr(_WRITTEN.get(byte, byte)) for byte in range(256)]
+_SPACE = _BYTES[32]
 # Latin, Greek and Cyrillic: their letters and digits are the same in every Unicode version in use
 _SETTLED = "\u0500"
 _encoders: dict[str, "WordEncoder"] = {}
@@ -79,39 +80,46 @@ class WordEncoder:
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return np.array(ids, dtype=np.uint32).tobytes()
+
+    def _tokens(self, written: str) -> bytes:
+        """Ids of a unit, written as the vocabulary writes its bytes."""
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
         ids = self.units.get(unit)
         if ids is None:
-            if unit[0] == " " and unit.isascii() and unit[1:].isalpha():
-                written = _SPACE + unit[1:]
-            else:
-                written = unit.encode().decode("latin-1").translate(_WRITTEN)
-            numbers = [t.id for t in self.model.tokenize(written)]
-            ids = self.units[unit] = struct.pack(f"<{len(numbers)}I", *numbers)
+            ids = self.units[unit] = self._tokens("".join([_BYTES[b] for b in unit.encode()]))
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters."""
+        ids = self.known.get(word) or self.older.get(word)
+        if ids is None:
+            ids = self._tokens(_SPACE + (word if word.isascii() else "".join([_BYTES[b] for b in word.encode()])))
+            self.known[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece and the space before it; the piece neither begins nor ends with white space."""
-        if len(piece) > LONGEST_CACHED or not (piece.isascii() or max(piece) < _SETTLED):
+        """Ids of a space and a piece that neither begins nor ends with white space."""
+        if not (piece.isascii() or max(piece) < _SETTLED):
             return self.whole(" " + piece)
         if piece.isalpha():
-            return self._unit(" " + piece)
+            return self._word(piece)
         word, last = piece[:-1], piece[-1]
         if last in ",.;:!?" and word.isalpha():
-            return self._unit(" " + word) + self._unit(last)
+            return self._word(word) + self._unit(last)
         return b"".join(map(self._unit, _UNITS.findall(" " + piece)))
 
     def _learn(self, pieces: set[str]) -> None:
+        older = self.older
         for piece in pieces:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                continue
-            ids = self.older.get(piece)
-            if ids is None and len(piece) <= LONGEST_CACHED:
+            ids = older.get(piece)
+            if ids is None:
+                if not piece or len(piece) > LONGEST_CACHED or piece[0].isspace() or piece[-1].isspace():
+                    continue
                 ids = self._piece(piece)
-            if ids is not None:
-                self.known[piece] = ids
+            self.known[piece] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -151,7 +159,7 @@ _FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids arr
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype=np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _encoder(path), TaskContext.get().partitionId(), 0
@@ -160,7 +168,7 @@ def _encode(path: str, end_id: int):
                 texts = [t or "" for t in piece.column(1).to_pylist()]
                 rows = [ids + end for ids in encoder.encode(texts)]
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
-                flat = np.frombuffer(b"".join(rows), dtype="<i4")
+                flat = np.frombuffer(b"".join(rows), dtype=np.int32)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": piece.column(0),
