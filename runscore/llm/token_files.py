@@ -13,8 +13,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,20 @@ _SETTLED = "\u0500"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class _UnevenSpace(Exception):
+    """A text holds more white space between two words than one space."""
+
+
+class _Known(dict):
+    """Ids by piece; a piece that is missing is asked for."""
+
+    def __init__(self, new: Callable[[str], bytes]):
+        self.new = new
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.new(piece)
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, word by word where that is the same.
 
@@ -75,7 +88,7 @@ class WordEncoder:
             and not pre.get("add_prefix_space")
         )
         self.units: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._new)
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -94,7 +107,7 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and letters."""
-        ids = self.known.get(word) or self.older.get(word)
+        ids = self.known.get(word) or self.older.get(word)  # get() does not ask
         if ids is None:
             ids = self._tokens(_SPACE + (word if word.isascii() else "".join([_BYTES[b] for b in word.encode()])))
             self.known[word] = ids
@@ -111,41 +124,37 @@ class WordEncoder:
             return self._word(word) + self._unit(last)
         return b"".join(map(self._unit, _UNITS.findall(" " + piece)))
 
-    def _learn(self, pieces: set[str]) -> None:
-        older = self.older
-        for piece in pieces:
-            ids = older.get(piece)
-            if ids is None:
-                if not piece or len(piece) > LONGEST_CACHED or piece[0].isspace() or piece[-1].isspace():
-                    continue
-                ids = self._piece(piece)
-            self.known[piece] = ids
+    def _new(self, piece: str) -> bytes:
+        """Ids of a piece that is not known yet; it is known from now on, unless it is long."""
+        ids = self.older.get(piece)
+        if ids is None:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise _UnevenSpace
+            if len(piece) > LONGEST_CACHED:
+                return self.whole(" " + piece)
+            ids = self._piece(piece)
+        self.known[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self.whole(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.older, self.known = self.known, {}
+            self.older, self.known = self.known, _Known(self._new)
         if len(self.units) > CACHED_UNITS:
             self.units = {}
-        split = [None if any(s in text for s in self.special) else text.split(" ") for text in texts]
-        for pieces in split:
-            if pieces is not None:
-                self._learn(set(pieces).difference(self.known))
-        return [self.whole(t) if p is None else self._joined(t, p) for t, p in zip(texts, split)]
-
-    def _joined(self, text: str, pieces: list[str]) -> bytes:
-        first = self.whole(pieces[0]) if pieces[0] else b""
-        try:
-            if pieces[0] and not pieces[0][-1].isspace():
-                return first + b"".join(map(self.known.__getitem__, islice(pieces, 1, None)))
-        except KeyError:
-            pass  # a long piece, or more white space than one space
+        return [self.whole(t) if any(s in t for s in self.special) else self._joined(t) for t in texts]
+
+    def _joined(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            try:
+                return self.whole(first) + b"".join(map(self.known.__getitem__, rest))
+            except _UnevenSpace:
+                pass
         first, *rest = _BOUNDARY.split(text)
         parts = [self.whole(first)]
-        for piece in rest:
-            ids = self.known.get(piece)
-            parts.append(self.whole(" " + piece) if ids is None else ids)
+        parts += [self.whole(" " + piece) if " " in piece or piece[-1].isspace() else self.known[piece] for piece in rest]
         return b"".join(parts)
 
 
