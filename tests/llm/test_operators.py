@@ -289,6 +289,17 @@ def test_fuzzy_lines(spark):
     assert texts[2] == "" and texts[6] == "x" and texts[3] is None and texts[1].endswith("\nshort line\n\n")
 
 
+def test_fuzzy_lines_of_odd_tables(spark):
+    rows = [(1, "same words in this line\nown", 7, "a", 0), (2, "Same words in this  line\nelse", 8, "b", 1), (None, "own", 9, "c", 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, Doc int, drops string, doc_ int")
+    out = {r["doc_id"]: r for r in without_repeated_lines(frame).collect()}
+    assert out[None]["text"] == "own"  # rows without id come first, so this one keeps the line
+    assert out[1].asDict() == dict(zip(frame.columns, (1, "same words in this line", 7, "a", 0)))
+    assert out[2].asDict() == dict(zip(frame.columns, (2, "else", 8, "b", 1)))
+    assert without_repeated_lines(frame.where("false")).columns == frame.columns
+    assert without_repeated_lines(frame.where("false")).count() == 0
+
+
 def test_fuzzy_lines_equal_brute_force(spark):
     random.seed(11)
     vocabulary = [f"w{i}" for i in range(300)]
