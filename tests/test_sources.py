@@ -1,6 +1,7 @@
 """Files in the layouts that occur, written to a fresh folder per test."""
 
 import json
+import os
 
 import pytest
 from helpers import record
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from runscore.operators import compare as C
 from runscore.sources.datasets import DatasetSpec, read_dataset
 from runscore.operators.metrics import run_history_row
+from runscore.sources import named
 from runscore.sources import runs as readers
 from runscore.sources.batches import append_batch, committed_batches, read_batches
 from runscore.sources.history import append_feedback, load_version, save_version, upsert_runs
@@ -260,3 +262,31 @@ def test_payload_keeps_every_value(spark, tmp_path):
     payload = json.loads(row["payload"])
     assert payload["task_id"] == "t" and payload["score"] is None and payload["execution_success"] == 1
     assert set(payload) == set(row.asDict()) - {"run_id", "mode", "created_at", "payload"}
+
+
+def test_named_files_are_written_by_tasks_under_their_names(spark, tmp_path, monkeypatch):
+    def no_scratch(*_):
+        raise AssertionError("the driver moves files")
+
+    folder = str(tmp_path / "named")
+    spark.createDataFrame([("old",)], "value string").coalesce(1).write.text(folder)
+    (old,) = [f for f in os.listdir(folder) if f.startswith("part-")]  # with a checksum beside it
+    monkeypatch.setattr("runscore.sources.named.scratch_path", no_scratch)
+    rows = [(old, "new"), ("a b#%.json", "x\ny"), ("twice.json", "1"), ("twice.json", "1"), ("é.json", None), (None, "n")]
+    assert write_named_files(spark.createDataFrame(rows, "name string, value string").repartition(3), folder) == 5
+    listed = sorted(f for f in os.listdir(folder) if not f.startswith((".", "_SUCCESS")))
+    assert listed == sorted([old, "a b#%.json", "twice.json", "é.json", "__HIVE_DEFAULT_PARTITION__"])
+    assert {f: (tmp_path / "named" / f).read_text(encoding="utf-8") for f in listed} == {
+        old: "new\n", "a b#%.json": "x\ny\n", "twice.json": "1\n1\n", "é.json": "\n", "__HIVE_DEFAULT_PARTITION__": "n\n",
+    }
+    assert [r["value"] for r in spark.read.text(f"{folder}/{old}").collect()] == ["new"]
+    assert not [f for f in os.listdir(folder) if f.startswith("._") and "SUCCESS" not in f]
+
+
+def test_named_files_are_moved_where_tasks_cannot_write_them(spark, tmp_path):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(tmp_path / "moved"))
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    rows = spark.createDataFrame([(f"n{i}.json", str(i)) for i in range(40)], "name string, value string")
+    assert named._write_and_move(rows, folder, store) == 40
+    assert (tmp_path / "moved" / "n7.json").read_text() == "7\n" and file_names(spark, str(tmp_path / "moved")).count() == 40
