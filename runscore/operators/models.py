@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from runscore.functions.rounding import total
 from runscore.operators.linear import fit_linear, is_plain_linear
-from runscore.operators.ordered import attach, running_totals
+from runscore.operators.ordered import attach, few_groups, running_totals
 from runscore.operators.prep import modes, stratified_split, with_class_weights
 from runscore.operators.profile import infer_task_type, numeric_columns
 from runscore.runtime import scratch_path
@@ -178,9 +178,11 @@ def prepare(df: DataFrame, spec: ModelSpec) -> Prepared:
         *[F.col(c).cast("string").alias(c) for c in spec.categorical],
         F.col(spec.key).alias("row_key"),
     )
-    split = stratified_split(rows, stratify, "row_key", spec.train_share)
+    # joined by class, all rows would stand in as many partitions as there are classes
+    few = few_groups(rows, [LABEL]) if stratify or spec.balanced else True
+    split = stratified_split(rows, stratify, "row_key", spec.train_share, few=few)
     if spec.balanced:
-        split = with_class_weights(split, LABEL)
+        split = with_class_weights(split, LABEL, few=few)
     held = split.persist()
     if not spec.categorical:
         return Prepared(held, held)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 RANGE_VALUES = 4096  # a group with fewer distinct values is not cut
 MOST_RANGES = 256  # ranges of one cut; the largest holds about 0.7 % of the values
 SKETCH_SIZE = 2048  # ranks are off by about 0.24 % of the values at most
+FEW = 4096  # a table with no more rows may be broadcast
 
 
 def attach(
@@ -45,6 +46,11 @@ def attach(
     return rows.join(renamed, match, how).drop(*[f"__{k}" for k in keys])
 
 
+def few_groups(rows: DataFrame, by: list[str]) -> bool:
+    """Whether a table with a row per group may be broadcast (action: counts groups up to FEW)."""
+    return rows.select(*by).distinct().limit(FEW + 1).count() <= FEW
+
+
 def _splitters(value: str) -> Column:
     """Aggregate: ascending values that cut the aggregated ones into equal parts, a power of two of them."""
     ranks = ",".join(str(i / MOST_RANGES) for i in range(1, MOST_RANGES))
@@ -111,15 +117,19 @@ def order_statistics(
 
     cuts = counted.groupBy(*by).agg(_splitters("v").alias("cuts"), F.sum("n").alias("total"))
     cut = attach(counted, cuts, by, few=few)
-    counts = cut.groupBy(*by, _range_of(as_double, F.col("cuts")).alias("range")).agg(
-        F.sum("n").alias("n"), F.max("total").alias("total"), F.max("cuts").alias("cuts")
+    # a sketch is random, so splitters must not be computed twice; an aggregate that
+    # carried their arrays would sort every row with them, two bounds are plain numbers
+    ranged = cut.withColumn("range", _range_of(as_double, F.col("cuts"))).select(
+        *by, "n", "total", "range",
+        F.get("cuts", F.col("range") - 1).alias("low"), F.get("cuts", "range").alias("high"),
+    )
+    counts = ranged.groupBy(*by, "range").agg(
+        F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("total", "low", "high")]
     )
     before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     spans = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     hit = [_inside(p, F.col("start"), F.col("n")) for p in positions.values()]
-    span = F.struct(
-        F.get("cuts", F.col("range") - 1).alias("low"), F.get("cuts", "range").alias("high"), "start"
-    )
+    span = F.struct("low", "high", "start")
     # one span per position at most
     wanted = (
         spans.where(reduce(lambda a, b: a | b, hit))

@@ -136,20 +136,21 @@ def iqr_clip(
 
 
 def stratified_split(
-    df: DataFrame, label: str | None, key: str, train_share: float = 0.8
+    df: DataFrame, label: str | None, key: str, train_share: float = 0.8, *, few: bool = False
 ) -> DataFrame:
     """Add ``is_train``: a fixed share of each class, chosen by a spread key.
 
     Finds the cut-off key per class from counts and compares each row with it,
-    so the rows themselves are never sorted or shuffled by class. Rows with the
-    same key stay together.
+    so the rows themselves are never sorted. Rows with the same key stay
+    together. ``few`` says that there are few classes (``ordered.few_groups``):
+    cut-offs are then broadcast, and rows are not shuffled by class either.
     """
     by = [label] if label else []
     keyed = df.withColumn("__spread", spread_key(F.col(key)))
     last = F.floor(F.col("total") * F.lit(float(train_share))) - 1
-    cuts = order_statistics(keyed, "__spread", {"__cut": last}, by)
+    cuts = order_statistics(keyed, "__spread", {"__cut": last}, by, few=few)
     if by:
-        marked = attach(keyed, cuts.drop("total"), by, "left")
+        marked = attach(keyed, cuts.drop("total"), by, "left", few=few)
         is_train = F.coalesce(F.col("__spread") <= F.col("__cut"), F.lit(False))
     else:
         marked = keyed.withColumn("__cut", cuts.select("__cut").scalar())
@@ -165,6 +166,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", weight.alias("weight"))
 
 
-def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+def with_class_weights(
+    df: DataFrame, label: str, name: str = "weight", *, few: bool = False
+) -> DataFrame:
+    """Add the weight of each row's class; those of ``few`` classes are broadcast."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return attach(df, weights, [label], "left")
+    return attach(df, weights, [label], "left", few=few)

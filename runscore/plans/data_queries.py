@@ -12,6 +12,7 @@ from runscore.operators import models as M
 from runscore.operators import prep
 from runscore.operators import profile as P
 from runscore.operators import workload as W
+from runscore.operators.ordered import few_groups
 from runscore.plans.fixtures import load
 from runscore.plans.oracle import rnd, text
 from runscore.plans.registry import query
@@ -428,7 +429,8 @@ def _spread(table: str, key: str) -> str:
 )
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return prep.stratified_split(orders, "o_orderstatus", "o_orderkey")
+    few = few_groups(orders, ["o_orderstatus"])
+    return prep.stratified_split(orders, "o_orderstatus", "o_orderkey", few=few)
 
 
 @query(

@@ -334,3 +334,19 @@ def test_response_curve_over_many_counts(spark):
     assert set(got) == set(rates)
     for c in known:
         assert got[c] == pytest.approx((rates[c], gains.get(c), first)) if c in gains else got[c][1] is None
+
+
+def test_a_few_classes_are_not_shuffled_by(spark):
+    from runscore.operators import ordered, prep
+
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("class"))
+    split = prep.with_class_weights(prep.stratified_split(rows, "class", "id", few=True), "class", few=True)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    # neither a join by class nor an aggregate that sorts rows with their splitters
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    shares = split.groupBy("class").agg(F.count_if("is_train").alias("in"), F.count(F.lit(1)).alias("n"), F.max("weight"))
+    found = {r[0]: (r[1], r[2]) for r in shares.collect()}
+    assert found == {k: (int(0.8 * n), n) for k, (_, n) in found.items()} and set(found) == {None, 0, 1}
+    assert ordered.few_groups(rows, ["class"]) and not ordered.few_groups(rows, ["id"])
+    many = prep.stratified_split(rows.withColumn("class", F.col("id") % 5_000), "class", "id")
+    assert many.where("is_train").count() == 15_000
