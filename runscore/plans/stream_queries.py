@@ -11,7 +11,7 @@ from runscore.plans.oracle import METRIC_BASE, rnd, suite
 from runscore.plans.registry import query
 from runscore.plans.scoring_queries import WITH as SCORING_WITH
 from runscore.plans.source_queries import LEVEL_SQL, UPSERT_SQL, log_table, versions
-from runscore.runtime import scratch_path
+from runscore.runtime import ROWS_PER_TASK, scratch_path
 from runscore.sources.history import load_buckets, save_buckets
 from runscore.sources.tables import stream_log_lines
 from runscore.streaming import streams as T
@@ -21,7 +21,7 @@ BATCHES = 4
 
 
 def arriving(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
-    """Write a table as files and read them back as a stream of about BATCHES batches."""
+    """Write a table as files, one a partition, and read them back as a stream of about BATCHES batches."""
     path = scratch_path(spark, name)
     table.write.parquet(path)
     files = len(spark.read.schema(table.schema).parquet(path).inputFiles())
@@ -36,6 +36,11 @@ def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def files_per_batch(table: DataFrame) -> int:
+    """How many files make one of BATCHES batches, with about ROWS_PER_TASK rows in each (action: counts rows)."""
+    return max(1, -(-table.count() // (ROWS_PER_TASK * BATCHES)))
+
+
 def in_time_order(spark: SparkSession, table: DataFrame, time: str, name: str, kind: str, files: int = 4) -> str:
     """Write a table as files of ascending, disjoint times whose modification times are in that order too (action)."""
     path = scratch_path(spark, name)
@@ -67,7 +72,8 @@ def all_windows(spark: SparkSession, windows: DataFrame, keys: list[str], name:
     FROM passing GROUP BY mode""",
 )
 def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = arriving(spark, run_records(spark, sf_dir), "runs")
+    # a batch has a file for every core
+    stream = arriving(spark, run_records(spark, sf_dir, BATCHES), "runs")
     scored = finished(spark, T.stream_scored_runs(stream), "scored")
     ev = F.col("evaluation")
     return scored.groupBy("mode").agg(
@@ -98,8 +104,9 @@ ERROR_RATE_SQL = f"""WITH l AS (SELECT ts, {LEVEL_SQL} AS level FROM events),
 def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every window of the table, open ones included, over several batches in time order."""
     runs = run_records(spark, sf_dir)
-    path = in_time_order(spark, runs, "created_at", "runs", "parquet")
-    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = files_per_batch(runs)
+    path = in_time_order(spark, runs, "created_at", "runs", "parquet", BATCHES * files)
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", files).parquet(path)
     return all_windows(spark, T.stream_scoreboard(stream), ["window_start", "mode"], "scoreboard")
 
 
@@ -121,6 +128,8 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t4_stream_error_rate", ERROR_RATE_SQL)
 def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every window of the table, open ones included, over several batches in time order."""
-    path = in_time_order(spark, log_table(spark, sf_dir), "timestamp", "logs", "json")
-    stream = stream_log_lines(spark, path, files_per_batch=1)
+    logs = log_table(spark, sf_dir)
+    files = files_per_batch(logs)
+    path = in_time_order(spark, logs, "timestamp", "logs", "json", BATCHES * files)
+    stream = stream_log_lines(spark, path, files_per_batch=files)
     return all_windows(spark, T.stream_error_rate(stream), ["window_start"], "error-rate")

@@ -165,3 +165,21 @@ def test_rows_later_than_the_watermark_are_dropped_from_windows(spark, tmp_path)
 def test_state_of_nothing(spark, tmp_path):
     assert load_buckets(spark, str(tmp_path / "none")) is None
     assert bucket_versions(spark, str(tmp_path / "none")) == {}
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    from runscore import runtime
+
+    monkeypatch.setattr(runtime, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 100)
+    table = spark.range(0, 5_000, 1, 8)
+    spread = runtime.spread_rows(table)
+    sizes = [n for (n,) in spread.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert spread.rdd.getNumPartitions() == 50 and max(sizes) < 150 and sum(sizes) == 5_000
+    assert runtime.spread_rows(spark.range(0, 50, 1, 8)).rdd.getNumPartitions() == 8
+    assert Q.files_per_batch(table) == 13 and Q.files_per_batch(table.limit(0)) == 1
+
+
+def test_a_batch_of_scored_runs_has_a_file_for_every_core(spark, sf):
+    stream = Q.run_records(spark, sf, Q.BATCHES)
+    assert stream.rdd.getNumPartitions() >= Q.BATCHES * spark.sparkContext.defaultParallelism
