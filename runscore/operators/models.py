@@ -6,8 +6,9 @@ features, never over rows.
 
 from __future__ import annotations
 
+import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,10 +18,13 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
+    Bucketizer,
     Imputer,
+    ImputerModel,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runscore.functions.rounding import total
+from runscore.operators import forest
 from runscore.operators.linear import fit_linear, is_plain_linear
 from runscore.operators.ordered import attach, few_groups, running_totals
 from runscore.operators.prep import modes, stratified_split, with_class_weights
@@ -133,6 +138,22 @@ def regression_metrics(
     )
 
 
+def grouped_r2(rows: DataFrame, model: PipelineModel, inputs: list[str]) -> DataFrame:
+    """R2 of a model that sees the inputs only; rows of equal inputs are predicted once.
+
+    The squared errors of such rows are their variance and the squared gap
+    between their mean and the prediction, times their number.
+    """
+    label = F.col(LABEL)
+    groups = rows.groupBy(*inputs).agg(
+        F.count(label).alias("__n"), F.avg(label).alias("__mean"), F.var_pop(label).alias("__spread")
+    )
+    gap = F.col("__mean") - F.col(PREDICTION)
+    whole = rows.agg((F.var_pop(label) * F.count(label)).alias("whole")).scalar()
+    error = F.sum(F.col("__n") * (gap * gap + F.col("__spread")))
+    return model.transform(groups).agg((1.0 - F.try_divide(error, whole)).alias("r2"))
+
+
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve as the exact rank statistic, ties counted half."""
     counted = (
@@ -192,14 +213,26 @@ def prepare(df: DataFrame, spec: ModelSpec) -> Prepared:
     return Prepared(held.na.fill(known) if known else held, held)
 
 
-def pipeline(spec: ModelSpec) -> Pipeline:
-    """Mean imputation and scaling, one-hot encoding, and the estimator."""
+def imputer(spec: ModelSpec) -> Imputer:
+    filled = [f"{c}__filled" for c in spec.numeric]
+    return Imputer(inputCols=list(spec.numeric), outputCols=filled, strategy="mean")
+
+
+def pipeline(spec: ModelSpec, bounds: list[list[float]] | None = None) -> Pipeline:
+    """Mean imputation and scaling, one-hot encoding, and the estimator.
+
+    With ``bounds`` numbers become the numbers of their ranges after imputation.
+    """
     stages, inputs = [], []
     if spec.numeric:
-        filled = [f"{c}__filled" for c in spec.numeric]
+        filling = imputer(spec)
+        stages.append(filling)
+        numbers = filling.getOutputCols()
+        if bounds is not None:
+            numbers = [f"{c}__range" for c in spec.numeric]
+            stages.append(Bucketizer(inputCols=filling.getOutputCols(), outputCols=numbers, splitsArray=bounds))
         stages += [
-            Imputer(inputCols=list(spec.numeric), outputCols=filled, strategy="mean"),
-            VectorAssembler(inputCols=filled, outputCol="numbers"),
+            VectorAssembler(inputCols=numbers, outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
         ]
         inputs.append("scaled")
@@ -230,9 +263,48 @@ def estimator(spec: ModelSpec):
 
 def fit(split: Prepared, spec: ModelSpec) -> PipelineModel:
     """Fit on the training rows only (action)."""
+    whole = pipeline(spec).getStages()[-1]
+    if isinstance(whole, RandomForestRegressor) and set(spec.params) <= {"numTrees", "maxDepth", "maxBins"}:
+        if spec.numeric and not spec.balanced and whole.getNumTrees() > 1:
+            model = fit_cells(split.train, spec, whole)
+            if model is not None:
+                return model
     return pipeline(spec).fit(split.train)
 
 
+def fit_cells(train: DataFrame, spec: ModelSpec, whole: RandomForestRegressor) -> PipelineModel | None:
+    """A regression forest from the cells of the training rows (``operators/forest.py``, action).
+
+    None where there are too many cells for the number of rows.
+    """
+    filling = imputer(spec)
+    filled = filling.fit(train).transform(train)
+    bounds = forest.range_bounds(filled, filling.getOutputCols(), whole.getMaxBins())
+    steps = Pipeline(stages=pipeline(spec, bounds).getStages()[:-1]).fit(train).stages
+    by_row = [s for s in steps if isinstance(s, (ImputerModel, Bucketizer, StringIndexerModel))]
+    sizes = {f"{c}__range": len(b) - 1 for c, b in zip(spec.numeric, bounds)}
+    for step in by_row:
+        if isinstance(step, StringIndexerModel):
+            # one more for categories that are not known
+            sizes |= {c: len(labels) + 1 for c, labels in zip(step.getOutputCols(), step.labelsArray)}
+    if math.prod(sizes.values()) >= 2**63:
+        return None
+    coded = PipelineModel(by_row).transform(train).select(forest.cell_code(sizes).alias("code"), LABEL)
+    seen = coded.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("code").alias("cells")).first()
+    if seen["n"] < forest.ROWS_PER_CELL * seen["cells"]:
+        return None
+    drawn = forest.drawn_cells(coded, whole.getNumTrees(), whole.getSeed(), seen["cells"])
+    ranges = drawn.select(*[c.alias(n) for n, c in forest.cell_ranges(sizes).items()], "weights", "sums")
+    by_cell = PipelineModel([s for s in steps if s not in by_row])
+    cells = by_cell.transform(ranges).select(FEATURES, "weights", "sums").persist()
+    # of several trees every one sees a third of the inputs at a node, as "auto" means for a forest
+    one = {**spec.params, "numTrees": 1, "featureSubsetStrategy": "onethird"}
+    tree = estimator(replace(spec, params=one)).setWeightCol("weight")
+    model = forest.fit_trees(cells, tree, whole)
+    cells.unpersist()
+    return PipelineModel([*steps, model])
+
+
 def evaluate(scored: DataFrame, spec: ModelSpec) -> DataFrame:
     """One row of metrics for scored rows."""
     if spec.task != "classification":
@@ -372,13 +444,9 @@ def feature_importance(df: DataFrame, spec: ModelSpec) -> DataFrame:
     metric = "accuracy" if spec.task == "classification" else "r2"
 
     def score(rows: DataFrame) -> float:
-        scored = model.transform(rows)
-        table = (
-            classification_metrics(scored)
-            if spec.task == "classification"
-            else regression_metrics(scored)
-        )
-        return float(table.first()[metric])
+        if spec.task == "classification":
+            return float(classification_metrics(model.transform(rows)).first()[metric])
+        return float(grouped_r2(rows, model, list(spec.numeric)).first()[metric])
 
     whole, n = score(test), test.count()
     numbered = ranked(test).persist()

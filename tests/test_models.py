@@ -135,3 +135,75 @@ def test_queries_train_whole_models(spark, sf, monkeypatch):
             assert (stage.getNumTrees(), stage.getMaxDepth()) == (100, 10)
         else:
             assert stage.getMaxIter() == {"logistic": 100, "gradient_boosting": 20}[model]
+
+
+def line_rows(spark, n=12_000):
+    """Two inputs of few values, one of many, gaps and a category; the label follows a, c and the category."""
+    a, c = F.col("id") % 7, F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    return spark.range(n).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 11 != 0, a.cast("double")).alias("a"), c.alias("c"),
+        F.when(F.col("id") % 13 != 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("s"),
+        (a * 10 + F.floor(c * 4) * 5 + (F.col("id") % 3) * 3 + F.pmod(F.hash("id"), F.lit(10)) / 10).alias("y"),
+    )
+
+
+def regression_spec(**changes):
+    return M.ModelSpec("y", "k", ("a", "c"), ("s",), task="regression", params={"numTrees": 12, "maxDepth": 8}, **changes)
+
+
+def test_trees_walk_cells_not_rows(spark, monkeypatch):
+    seen, build = [], M.RandomForestRegressor._fit
+    monkeypatch.setattr(M.RandomForestRegressor, "_fit", lambda self, rows: seen.append(rows.count()) or build(self, rows))
+    rows, spec = line_rows(spark), regression_spec()
+    split = M.prepare(rows, spec)
+    by_cell = M.fit(split, spec)
+    assert len(seen) == 12 and max(seen) <= 8 * 32 * 3 < split.train.count() / 8
+    by_row = M.pipeline(spec).fit(split.train)
+    r2 = [M.evaluate(m.transform(split.test), spec).first()["r2"] for m in (by_cell, by_row)]
+    assert min(r2) > 0.6 and abs(r2[0] - r2[1]) < 0.05
+    forest = by_cell.stages[-1]
+    assert forest.getNumTrees == 12 and max(t.depth for t in forest.trees) == 8
+    weights = [m.stages[-1].featureImportances.toArray() for m in (by_cell, by_row)]
+    assert abs(weights[0] - weights[1]).max() < 0.1 and abs(weights[0].sum() - 1) < 1e-9
+    split.release()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_every_row_is_drawn_on_its_own(spark):
+    from runscore.operators import forest
+
+    rows = spark.range(40_000).select((F.col("id") % 50).alias("code"), (F.col("id") % 50).cast("double").alias("label"))
+    cells = forest.drawn_cells(rows.repartition(3), 20, 1, 50).collect()
+    assert sorted(r["code"] for r in cells) == list(range(50))
+    drawn = [w for r in cells for w in r["weights"]]
+    mean = sum(drawn) / len(drawn)
+    spread = sum((w - 800) ** 2 for w in drawn) / len(drawn)
+    assert abs(mean - 800) < 4 and 650 < spread < 950  # sums of 800 Poisson numbers of mean 1
+    assert all(s == w * r["code"] for r in cells for w, s in zip(r["weights"], r["sums"]))
+
+
+def test_inputs_without_repeats_are_fitted_row_by_row(spark):
+    rows = spark.range(500).select(F.col("id").alias("k"), F.rand(1).alias("a"), F.rand(2).alias("c"), F.lit("s").alias("s"), F.rand(3).alias("y"))
+    split = M.prepare(rows, regression_spec())
+    whole = M.pipeline(regression_spec()).getStages()[-1]
+    assert M.fit_cells(split.train, regression_spec(), whole) is None
+    assert M.fit(split, regression_spec()).stages[-1].getNumTrees == 12
+    split.release()
+
+
+def test_ranges_of_few_and_many_values(spark):
+    from runscore.operators import forest
+
+    rows = spark.range(3200).select((F.col("id") % 4).cast("double").alias("a"), F.col("id").cast("double").alias("b"), F.lit(1.0).alias("c"))
+    few, many, one = forest.range_bounds(rows, ["a", "b", "c"], 32)
+    assert few[1:-1] == [0.5, 1.5, 2.5] and len(many) == 33 and one[1:-1] == [0.0]
+    assert max(abs(b - a - 100) for a, b in zip(many[1:], many[2:-1])) < 15
+
+
+def test_grouped_r2_equals_that_of_the_rows(spark):
+    rows, spec = line_rows(spark, 2000), regression_spec()
+    split = M.prepare(rows, spec)
+    model = M.fit(split, spec)
+    grouped = M.grouped_r2(split.test, model, ["a", "c", "s"]).first()["r2"]
+    assert abs(grouped - M.evaluate(model.transform(split.test), spec).first()["r2"]) < 1e-9
+    split.release()
