@@ -183,3 +183,11 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
 def test_a_batch_of_scored_runs_has_a_file_for_every_core(spark, sf):
     stream = Q.run_records(spark, sf, Q.BATCHES)
     assert stream.rdd.getNumPartitions() >= Q.BATCHES * spark.sparkContext.defaultParallelism
+
+
+def test_a_task_takes_fifty_thousand_rows(spark):
+    from runscore import runtime
+
+    spread = runtime.spread_rows(spark.range(0, 600_000, 1, 2))
+    sizes = [n for (n,) in spread.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 55_000 and sum(sizes) == 600_000
