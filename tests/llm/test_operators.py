@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from runscore.llm import leakage, metric_tree, near_copies, toxic_passages, words
+from runscore.llm import fuzzy_lines, leakage, metric_tree, near_copies, toxic_passages, words
 from runscore.llm.chat import chat_digests, format_chats, read_chats
 from runscore.llm.fuzzy_lines import line_groups, without_repeated_lines
 from runscore.llm.isotonic import calibrate, isotonic_blocks
@@ -300,7 +300,24 @@ def test_fuzzy_lines_of_odd_tables(spark):
     assert without_repeated_lines(frame.where("false")).count() == 0
 
 
-def test_fuzzy_lines_equal_brute_force(spark):
+def test_fuzzy_lines_stand_under_a_fifth_of_their_words(spark, monkeypatch):
+    """Rows kept between the steps are about a fifth of the words, whether words are shared or not."""
+    base, rows, keep = [f"w{i}" for i in range(100)], [], fuzzy_lines.Scratch.keep
+
+    def counted(*given):
+        kept = keep(*given)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(fuzzy_lines.Scratch, "keep", counted)
+    lines = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 100, 5)]
+    out = line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["keeper_doc_id"] for r in out} == {0} and max(rows) <= 20 * (100 // 5 + fuzzy_lines.MEETINGS)
+
+
+@pytest.mark.parametrize("most", [1, 3, fuzzy_lines.MOST_MET])
+def test_fuzzy_lines_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(fuzzy_lines, "MOST_MET", most)
     random.seed(11)
     vocabulary = [f"w{i}" for i in range(300)]
     lines = []
