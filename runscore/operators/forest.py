@@ -1,10 +1,14 @@
-"""Regression forests that are fitted on cells instead of rows.
+"""Forests that are fitted on cells instead of rows.
 
 A tree sees an input only as one of up to ``maxBins`` ranges, so rows that fall
 into the same ranges (a cell) are one row to it, with a weight and a mean. Every
 row is still drawn for every tree by its own Poisson number, as in Spark's
 forests; a cell holds the drawn rows and the sum of their labels, per tree. One
 pass over the rows makes the cells, and the levels of the trees walk cells.
+
+Rows of one cell and one class are alike in everything, so for classes they are
+counted. The Poisson numbers of mean 1 of n rows add up to one of mean n, which
+is drawn at once; boosting draws nothing and weighs a cell by its count.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle, inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_CELL = 8  # with fewer rows a cell, the numbers a cell keeps per tree outweigh its rows
 ROWS_AT_ONCE = 30_000  # rows that a task draws at a time
+ROWS_PER_COUNT = 2  # rows of one cell and class at least, on average, for counts to be walked instead
 CELLS_AT_ONCE = 20_000  # cells that a task adds up before it hands them on
 CELLS_PER_TASK = 50_000
 AT_ONCE = 8  # trees fitted at a time
@@ -164,23 +170,55 @@ def drawn_cells(rows: DataFrame, trees: int, seed: int, cells: int) -> DataFrame
     return parts.repartition(1 + cells // CELLS_PER_TASK, "code").mapInArrow(_merged(trees), CELL_DDL)
 
 
-def fit_trees(cells: DataFrame, tree: RandomForestRegressor, whole: RandomForestRegressor) -> RandomForestRegressionModel:
-    """The forest ``whole`` of trees like ``tree``, each fitted on its own draws (action)."""
+def drawn_counts(counted: DataFrame, trees: int, seed: int) -> DataFrame:
+    """A Poisson number of mean ``n`` per tree (``weight0`` and so on) beside the columns of ``counted``.
+
+    The draws depend on the seed, and on the order of the rows in their
+    partitions. A tree has a column of its own, so that it reads no other's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            drawn = random.poisson(n[:, None], (len(n), trees))
+            columns = [pa.array(np.ascontiguousarray(drawn[:, i]), pa.int64()) for i in range(trees)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+
+    names = [f"weight{i}" for i in range(trees)]
+    fields = [f"{name} {kind}" for name, kind in counted.dtypes] + [f"{name} long" for name in names]
+    return counted.mapInArrow(run, ", ".join(fields))
+
+
+def fit_trees(
+    cells: DataFrame, tree: RandomForestRegressor | RandomForestClassifier, whole: RandomForestRegressor | RandomForestClassifier
+) -> RandomForestRegressionModel | RandomForestClassificationModel:
+    """The forest ``whole`` of trees like ``tree``, each fitted on its own draws (action).
+
+    Cells have arrays of weights and of summed labels, or one label and a column of weights per tree.
+    """
     spark, seed, label = cells.sparkSession, whole.getSeed(), tree.getLabelCol()
 
-    def fit(i: int) -> RandomForestRegressionModel:
-        weight = F.col("weights")[i]
-        drawn = cells.where(weight > 0).select(
-            tree.getFeaturesCol(), weight.alias(tree.getWeightCol()), (F.col("sums")[i] / weight).alias(label)
-        )
+    def fit(i: int) -> RandomForestRegressionModel | RandomForestClassificationModel:
+        if "sums" in cells.columns:
+            weight = F.col("weights")[i]
+            target = (F.col("sums")[i] / weight).alias(label)
+        else:
+            weight, target = F.col(f"weight{i}").cast("double"), F.col(label)
+        drawn = cells.where(weight > 0).select(tree.getFeaturesCol(), weight.alias(tree.getWeightCol()), target)
         return tree.copy({tree.seed: seed + i}).fit(drawn)
 
     with ThreadPool(AT_ONCE) as pool:
         fitted = pool.map(inheritable_thread_target(spark)(fit), range(whole.getNumTrees()))
-    context = spark.sparkContext
-    package = context._jvm.org.apache.spark.ml.regression
-    trees = context._gateway.new_array(package.DecisionTreeRegressionModel, len(fitted))
+    context, first = spark.sparkContext, fitted[0]
+    package = context._jvm.org.apache.spark.ml
+    classes = isinstance(first, RandomForestClassificationModel)
+    kind = package.classification.DecisionTreeClassificationModel if classes else package.regression.DecisionTreeRegressionModel
+    trees = context._gateway.new_array(kind, len(fitted))
     for i, model in enumerate(fitted):
         trees[i] = model._java_obj.trees()[0]
-    java = package.RandomForestRegressionModel(whole.uid, trees, fitted[0].numFeatures)
+    if classes:
+        java = package.classification.RandomForestClassificationModel(whole.uid, trees, first.numFeatures, first.numClasses)
+        return whole._copyValues(RandomForestClassificationModel(java))
+    java = package.regression.RandomForestRegressionModel(whole.uid, trees, first.numFeatures)
     return whole._copyValues(RandomForestRegressionModel(java))

@@ -152,18 +152,16 @@ def counterfactuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         target="dear", key="line_id", numeric=("l_quantity", "l_discount"), categorical=(),
         model="logistic", params={},
     )
-    split = M.prepare(lines, wanted)
-    model = M.fit(split, wanted)
-    chosen = model.transform(split.rows).where(F.col(M.PREDICTION) == 1.0).select(
-        "row_key", *wanted.numeric
-    )
     edits = [
         {"l_discount": 0.1}, {"l_quantity": 20.0}, {"l_quantity": 10.0},
         {"l_quantity": 10.0, "l_discount": 0.1},
     ]
-    found = M.counterfactuals(chosen, model, edits, "row_key", 0.0)
-    split.release()
-    return found
+    with M.prepare(lines, wanted) as split:
+        model = M.fit(split, wanted)
+        chosen = model.transform(split.rows).where(F.col(M.PREDICTION) == 1.0).select(
+            "row_key", *wanted.numeric
+        )
+        return M.counterfactuals(chosen, model, edits, "row_key", 0.0)
 
 
 @query(

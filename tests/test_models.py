@@ -207,3 +207,97 @@ def test_grouped_r2_equals_that_of_the_rows(spark):
     grouped = M.grouped_r2(split.test, model, ["a", "c", "s"]).first()["r2"]
     assert abs(grouped - M.evaluate(model.transform(split.test), spec).first()["r2"]) < 1e-9
     split.release()
+
+
+def class_spec(model="random_forest", **params):
+    return M.ModelSpec("y", "k", ("a", "c"), ("s",), model, params=params)
+
+
+def class_rows(spark, classes):
+    """Rows of few cells; the class follows the label of line_rows, with some noise."""
+    level = F.floor(F.col("y") / 100 * classes)
+    odd = F.pmod(F.hash("k", F.lit(1)), F.lit(9)) == 0
+    return line_rows(spark).withColumn("y", F.when(odd, F.col("k") % classes).otherwise(F.least(level, F.lit(classes - 1))))
+
+
+def rows_seen(monkeypatch, kind):
+    seen, build = [], kind._fit
+    monkeypatch.setattr(kind, "_fit", lambda self, rows: seen.append(rows.count()) or build(self, rows))
+    return seen
+
+
+def test_classes_of_cells_are_counted(spark, monkeypatch):
+    spec = class_spec(numTrees=12, maxDepth=8)
+    with M.prepare(class_rows(spark, 3), spec) as split:
+        seen = rows_seen(monkeypatch, M.RandomForestClassifier)
+        by_cell = M.fit(split, spec)
+        # at most 8 ranges of a, 32 of c, 3 categories and 3 classes
+        assert len(seen) == 12 and max(seen) <= 8 * 32 * 3 * 3 < split.train.count() / 4
+        by_row = M.pipeline(spec).fit(split.train)
+        assert len(seen) == 13 and seen[-1] == split.train.count()
+        scores = [M.evaluate(m.transform(split.test), spec).first() for m in (by_cell, by_row)]
+        assert min(s["accuracy"] for s in scores) > 0.8 and abs(scores[0]["accuracy"] - scores[1]["accuracy"]) < 0.04
+        assert abs(scores[0]["auc"] - scores[1]["auc"]) < 0.04
+        forest = by_cell.stages[-1]
+        assert (forest.getNumTrees, forest.numClasses) == (12, 3) and max(t.depth for t in forest.trees) == 8
+        weights = [m.stages[-1].featureImportances.toArray() for m in (by_cell, by_row)]
+        assert abs(weights[0] - weights[1]).max() < 0.15
+        # a row stands for all test rows of its cell and class, and metrics are those of the rows
+        counted = M.evaluated(by_cell, split.test, spec).first()
+        assert all(abs(counted[c] - scores[0][c]) < 1e-9 for c in counted.asDict())
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_boosting_weighs_cells_by_their_rows(spark, monkeypatch):
+    spec = class_spec("gradient_boosting", maxIter=4)
+    with M.prepare(class_rows(spark, 2), spec) as split:
+        seen = rows_seen(monkeypatch, M.GBTClassifier)
+        by_cell = M.fit(split, spec)
+        assert len(seen) == 1 and seen[0] <= 8 * 32 * 3 * 2 < split.train.count() / 4
+        by_row = M.pipeline(spec).fit(split.train)
+        scores = [M.evaluate(m.transform(split.test), spec).first() for m in (by_cell, by_row)]
+        assert scores[0]["accuracy"] > 0.85 and abs(scores[0]["accuracy"] - scores[1]["accuracy"]) < 0.03
+        counted = M.evaluated(by_cell, split.test, spec).first()
+        assert all(abs(counted[c] - scores[0][c]) < 1e-9 for c in counted.asDict())
+        assert M.train_eval(class_rows(spark, 2), spec).first()["accuracy"] > 0.85
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_boosting_of_counts_equals_that_of_rows(spark):
+    # with few values of every input the ranges are the same, and so are the trees
+    rows = spark.range(4000).select(
+        F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"), F.pmod(F.hash("id"), F.lit(5)).cast("double").alias("c"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("s"),
+        ((F.col("id") % 7 + F.pmod(F.hash("id"), F.lit(5)) + F.pmod(F.xxhash64("id"), F.lit(4))) > 6).cast("int").alias("y"),
+    )
+    spec = class_spec("gradient_boosting", maxIter=3)
+    with M.prepare(rows, spec) as split:
+        models = M.fit(split, spec), M.pipeline(spec).fit(split.train)
+        first, second = (
+            {r["row_key"]: (r["prediction"], r["p"]) for r in m.transform(split.test).withColumn("p", M.vector_to_array("probability")[1]).collect()}
+            for m in models
+        )
+        assert any(isinstance(s, M.Bucketizer) for s in models[0].stages)
+        assert all(first[k][0] == second[k][0] and abs(first[k][1] - second[k][1]) < 1e-9 for k in first)
+
+
+def test_counts_are_drawn_like_rows(spark):
+    from runscore.operators import forest
+
+    counted = spark.range(400).select((F.col("id") % 2 * 50 + 3).alias("n"))
+    drawn = forest.drawn_counts(counted.repartition(3), 50, 7).collect()
+    for n in (3, 53):
+        got = [r[f"weight{i}"] for r in drawn if r["n"] == n for i in range(50)]
+        mean = sum(got) / len(got)
+        spread = sum((w - mean) ** 2 for w in got) / len(got)
+        assert len(got) == 10_000 and abs(mean - n) < n * 0.05 and abs(spread - n) < n * 0.15
+
+
+def test_labels_that_are_no_classes_fail_as_before(spark):
+    import pytest
+
+    rows = class_rows(spark, 2).withColumn("y", F.col("y") + 0.5)
+    for spec in (class_spec(numTrees=3), class_spec("gradient_boosting", maxIter=2)):
+        with pytest.raises(Exception):
+            M.train_eval(rows, spec)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
